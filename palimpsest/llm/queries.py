@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import id_store, mpeg_audio, packing, roundtrip, secret_scan
+from . import id_store, inner_topk, mpeg_audio, packing, roundtrip, secret_scan, token_counts
 from .common import fresh_path, table
 
 
@@ -17,10 +17,18 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op3_inner_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inner_topk.top_k(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0")
+
+
 def op5_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpeg_audio.read_texts(mpeg_audio.store_texts(table(spark, sf_dir, "documents")))
 
@@ -38,7 +46,7 @@ def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_packing, op5_mpeg_audio, op6_id_store, op7_secret_scan, op8_bpe_round_trip)}
+    return {f.__name__: f for f in (op1_token_counts, op2_packing, op3_inner_topk, op5_mpeg_audio, op6_id_store, op7_secret_scan, op8_bpe_round_trip)}
 
 
 def oracle_sql() -> dict[str, str]:
