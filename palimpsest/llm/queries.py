@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import id_store, inner_topk, mpeg_audio, packing, roundtrip, secret_scan, token_counts
+from . import id_store, inner_topk, mpeg_audio, ngram_join, packing, roundtrip, secret_scan, token_counts
 from .common import fresh_path, table
 
 
@@ -29,6 +29,10 @@ def op3_inner_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inner_topk.top_k(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0")
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(table(spark, sf_dir, "documents"), words=3, at_least=90)
+
+
 def op5_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpeg_audio.read_texts(mpeg_audio.store_texts(table(spark, sf_dir, "documents")))
 
@@ -46,7 +50,7 @@ def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_packing, op3_inner_topk, op5_mpeg_audio, op6_id_store, op7_secret_scan, op8_bpe_round_trip)}
+    return {f.__name__: f for f in (op1_token_counts, op2_packing, op3_inner_topk, op4_ngram_join, op5_mpeg_audio, op6_id_store, op7_secret_scan, op8_bpe_round_trip)}
 
 
 def oracle_sql() -> dict[str, str]:
