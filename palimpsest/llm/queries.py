@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import id_store, inner_topk, mpeg_audio, ngram_join, packing, roundtrip, secret_scan, token_counts
+from . import id_store, inner_topk, line_dedup, mpeg_audio, ngram_join, packing, roundtrip, secret_scan, token_counts, toxicity
 from .common import fresh_path, table
 
 
@@ -49,9 +49,20 @@ def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roundtrip.digests(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_packing, op3_inner_topk, op4_ngram_join, op5_mpeg_audio, op6_id_store, op7_secret_scan, op8_bpe_round_trip)}
+    found = (op1_token_counts, op2_packing, op3_inner_topk, op4_ngram_join, op5_mpeg_audio, op6_id_store, op7_secret_scan, op8_bpe_round_trip, op9_toxicity, op10_line_dedup)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
+    """None of these operators can be stated in SQL that runs on whole tables in reasonable time; tests/llm compares them with libraries and brute force."""
     return {}
