@@ -28,7 +28,7 @@ import numpy as np
 import regex
 
 #: Entries of a fragment cache before it is emptied; bounds a worker's memory.
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 300_000
 #: Fragments of more bytes are cut at every forced pair; shorter ones are encoded at once.
 LONG = 96
 #: Below this code point letter, number and space classes are the same in all Unicode versions in use.

@@ -125,20 +125,24 @@ def fit(texts: list[str], labels: list[int]) -> Ordinal:
     Without a row of a positive grade nothing is ever rejected.
     """
     # of near copies, which share their words of least hash, one is fitted: else their rare words look telling
-    once: dict[tuple, tuple[set[str], int]] = {}
-    for text, label in zip(texts, labels):
-        s = words(text)
-        once.setdefault(tuple(heapq.nsmallest(SKETCH, (zlib.crc32(w.encode()) for w in s))), (s, label))
-    sets = [x[0] for x in once.values()]
-    labels = np.array([x[1] for x in once.values()], dtype=np.int64)
+    seen_sketches: set[tuple] = set()
     numbers: dict[str, int] = {}
-    cells: list[list[int]] = []
-    for s in sets:
-        cells.append(sorted({numbers.setdefault(f, len(numbers)) for w in sorted(s) for f in word_features(w)}))
-    n, positive = len(sets), int((labels > 0).sum())
+    cells, kept_labels = [], []  # feature numbers of each fitted document
+    for text, label in zip(texts, labels):
+        found = words(text)
+        sketch = tuple(heapq.nsmallest(SKETCH, (zlib.crc32(w.encode()) for w in found)))
+        if sketch in seen_sketches:
+            continue
+        seen_sketches.add(sketch)
+        features = {numbers.setdefault(f, len(numbers)) for w in sorted(found) for f in word_features(w)}
+        cells.append(np.sort(np.fromiter(features, dtype=np.int32, count=len(features))))
+        kept_labels.append(label)
+    labels = np.array(kept_labels, dtype=np.int64)
+    n, positive = len(cells), int((labels > 0).sum())
     if not positive or positive == n:
         return Ordinal({}, [50.0] if not positive else [-50.0])
-    flat, row = np.concatenate([np.array(c, dtype=np.int64) for c in cells]), np.repeat(np.arange(n), [len(c) for c in cells])
+    flat, row = np.concatenate(cells), np.repeat(np.arange(n, dtype=np.int32), [len(c) for c in cells])
+    del cells
     seen = np.bincount(flat, minlength=len(numbers))
     hits = np.bincount(flat, weights=(labels > 0)[row], minlength=len(numbers))
     # chi-square of presence against a positive label
