@@ -70,7 +70,7 @@ def _powers(n: int, base: int) -> np.ndarray:
 
 
 #: Bytes whose running sum is taken at once.
-SPAN = 1 << 22
+SPAN = 1 << 20
 
 
 def ngram_sets(texts: list[str], words: int) -> list[np.ndarray]:
@@ -91,7 +91,7 @@ def ngram_sets(texts: list[str], words: int) -> list[np.ndarray]:
 def _sets(group: list[bytes], words: int) -> list[np.ndarray]:
     data = np.frombuffer(b"".join(group), dtype=np.uint8)
     ends = np.cumsum([len(g) for g in group])
-    n = 1 << int(len(data) + 1).bit_length()
+    n = max(2 * SPAN, 1 << int(len(data) + 1).bit_length())  # one size but for very long texts
     white = IS_WHITE[data]
     edge = np.flatnonzero(white[1:] != white[:-1]) + 1
     if len(data) and not white[0]:
@@ -378,7 +378,7 @@ def classes(docs: DataFrame, words: int = 3, at_least: int = 90, of: int = 100,
     found = components(links(docs, sets, rule, id_column, text_column))
     named = stored(sets.join(found, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("class")), "classes")
     # classes of one document need no join: only those of several are looked up
-    several = named.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n")).where("n > 1").drop("n")
+    several = stored(named.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n")).where("n > 1").drop("n"), "several")
     return named.join(several, "class", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
