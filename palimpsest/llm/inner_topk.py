@@ -209,7 +209,8 @@ def top_k(vectors: DataFrame, query_condition: str, k: int = 20, scale: int = 64
     # a pair of blocks can matter if some query's length times the block's longest reaches its bar
     needs = members.join(bars, "query_id", "left").groupBy("q_block").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("at", "bar"))), lambda x: x["bar"]).alias("bars"),
-        F.min(F.coalesce((F.col("bar") - 1) / F.col("length"), F.lit(float("-inf")))).alias("least"),
+        # every candidate scores 0 with a query of length 0, so no block is ruled out for it
+        F.min(F.coalesce(F.when(F.col("length") > 0, (F.col("bar") - 1) / F.col("length")), F.lit(float("-inf")))).alias("least"),
     )
     others = c_blocks.join(F.broadcast(first), ["d", "block"], "left_anti")
     headers = names(q_blocks, "q").select("d", "q_block").join(needs, "q_block").select("d", "q_block", "least")
