@@ -1,0 +1,45 @@
+import random
+
+from palimpsest.llm import line_dedup
+
+from .test_line_dedup import distance, linked, norm, simhash
+
+
+def edited(line, kind, rng):
+    """The line with one word replaced, one letter changed, or a word more or less."""
+    words = line.split(" ")
+    at = rng.randrange(len(words))
+    if kind == "word":
+        words[at] = "".join(rng.choice("mnopqrs") for _ in words[at])
+    elif kind == "letter":
+        words[at] = words[at][:-1] + "z"
+    elif kind == "less":
+        del words[at]
+    else:
+        words.insert(at, "qp")
+    return " ".join(words)
+
+
+def test_one_edit_is_always_linked(spark, documents):
+    """Every line with one edited region loses to its original, whatever the SimHashes say."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghik") for _ in range(rng.randint(2, 8)))
+    pairs = []
+    for n in [4, 5, 6, 8, 10, 14, 20, 30, 45, 60] * 3:
+        for kind in ("word", "letter", "less", "more"):
+            line = " ".join(word() for _ in range(n))
+            copy = edited(line, kind, rng)
+            if min(map(len, (line, copy))) >= line_dedup.LEAST_CHARS and max(map(len, (line, copy))) <= line_dedup.LONG_LINE and linked(line, copy) and line != copy:
+                pairs.append((line, copy))
+    far = [p for p in pairs if (simhash(p[0]) ^ simhash(p[1])).bit_count() > line_dedup.DISTANCE]
+    assert len(pairs) > 80 and len(far) > 20
+    rows = line_dedup.digests(documents(["\n".join(x) for x in pairs])).orderBy("doc_id").collect()
+    assert [r.n_removed for r in rows] == [1] * len(pairs)
+
+
+def test_unlike_lines_stay(spark, documents):
+    """Two thirds in common make lines candidates, not copies."""
+    start = "the same beginning of a line that goes on for quite a while and "
+    texts = [start + end for end in ("then it ends in one way here", "after that nobody knows why x", "zzzz yyyy qqqq vvvv wwww uuuu")]
+    assert all(1 - distance(a, b) / max(len(a), len(b)) < line_dedup.SIMILARITY for a in map(norm, texts) for b in map(norm, texts) if a != b)
+    assert [r.n_removed for r in line_dedup.digests(documents(texts)).collect()] == [0] * len(texts)
