@@ -1,0 +1,10 @@
+from palimpsest.llm import line_dedup
+
+
+def test_short_lines_by_equality(spark, documents):
+    """Lines under LEAST_CHARS go where they repeat, near copies and lines without letters or digits stay."""
+    texts = ["All rights reserved.\nfirst one", "all rights reserved\nfirst ona", "---\n\n---", "---\n\n", "a\nA!\nb", None, ""]
+    rows = line_dedup.digests(documents(texts)).orderBy("doc_id").collect()
+    assert [r.n_removed for r in rows] == [0, 1, 0, 0, 1, 0, 0]
+    kept = line_dedup.without_repeats(documents(texts)).orderBy("doc_id").collect()
+    assert [r.text for r in kept] == [texts[0], "first ona", *texts[2:4], "a\nb", None, ""]
