@@ -1,0 +1,18 @@
+import random
+
+from palimpsest.llm import line_dedup
+
+from .test_line_dedup import simhash
+
+
+def test_very_long_line(spark, documents):
+    """Lines with more words than packed counters hold have a SimHash, and near copies are found."""
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 7))) for _ in range(34_000)]
+    other = [*words]
+    for at in (100, 17_000, 33_900):  # edits in several regions: only SimHashes find them
+        other[at] = "zzzzzz"
+    texts = [" ".join(words), " ".join(other)]
+    signed = line_dedup._sign_long_lines(spark.createDataFrame([(1, 0, texts[0]), (2, 0, "several longer words"), (3, 0, "so it is")], "doc_id long, pos int, norm string")).orderBy("doc_id").collect()
+    assert [r.sim & (1 << 64) - 1 for r in signed[:2]] == [simhash(texts[0]), simhash("several longer words")] and signed[2].sim == signed[2].line
+    assert [r.n_removed for r in line_dedup.digests(documents(texts)).orderBy("doc_id").collect()] == [0, 1]
