@@ -142,26 +142,37 @@ def _id3v2(data: bytes, at: int, tags: dict[str, str]) -> int:
     return end
 
 
+def _frames_to_end(data: bytes, at: int, first: Header) -> bool:
+    """Whether like frames, one after the other from `at`, end where the data ends."""
+    while at < len(data):
+        h = header(data[at : at + 4])
+        if h is None or not h.like(first):
+            return False
+        at += h.length
+    return at == len(data)
+
+
 def parse(data: bytes | None) -> Stream:
     """Parses any bytes; None and bytes without a frame give a stream of 0 frames.
 
     A header counts where it is followed by a like header, by a tag or by the
     end of the data; everything else between frames is skipped and counted.
+    The last 128 bytes are an ID3v1 tag if they start like one, unless frames
+    that reach to the very end of the data run over that place.
     """
     out = Stream()
     data = data or b""
     at, end = 0, len(data)
     if end >= 128 and data[end - 128 : end - 125] == b"TAG":
         end -= 128
-        for name, a, b in (("TIT2", 3, 33), ("TPE1", 33, 63), ("TALB", 63, 93)):
-            if text := data[end + a : end + b].split(b"\0")[0].decode("latin-1").strip():
-                out.tags[name] = text
     previous = None
     while at < end:
         if data[at : at + 3] == b"ID3" and at + 10 <= end:
             at = _id3v2(data, at, out.tags)
             continue
         h = header(data[at : at + 4])
+        if h is not None and end < len(data) and at + h.length > end and (previous is None or h.like(previous)) and _frames_to_end(data, at, h):
+            end = len(data)
         if h is not None and at + h.length <= end:
             after = at + h.length
             sure = after == end or data[after : after + 3] == b"ID3" or h.like(header(data[after : after + 4])) or (previous is not None and h.like(previous))
@@ -197,6 +208,10 @@ def parse(data: bytes | None) -> Stream:
         out.rate, out.version, out.layer = h.rate, VERSION_NAMES[h.version], h.layer
         previous = h
         at += h.length
+    if end < len(data):
+        for name, a, b in (("TIT2", 3, 33), ("TPE1", 33, 63), ("TALB", 63, 93)):
+            if text := data[end + a : end + b].split(b"\0")[0].decode("latin-1").strip():
+                out.tags.setdefault(name, text)
     return out
 
 
@@ -237,10 +252,13 @@ def carry(payload: bytes, n_bytes: int) -> bytes:
 
 
 def payload(media: bytes, stream: Stream | None = None) -> bytes:
-    """The payload of a carrier."""
+    """The payload of a carrier. Fails where the frames hold less than the tag says."""
     stream = stream or parse(media)
     size = int(stream.tags["TXXX:payload_bytes"].split(",")[0])
-    return b"".join([media[a:b] for a, b in stream.bodies])[:size]
+    data = b"".join([media[a:b] for a, b in stream.bodies])[:size]
+    if len(data) != size:
+        raise ValueError(f"a carrier of {size} bytes gave {len(data)}")
+    return data
 
 
 def feature(s: Stream) -> str:
