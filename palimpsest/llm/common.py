@@ -20,16 +20,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it.
 
-    Where no spark.checkpoint.dir is set (a local session, as in tests) a
-    temporary folder of this process is set as checkpoint folder.
+    Where no spark.checkpoint.dir is set, a local session (as in tests) gets a
+    temporary folder of this process; a cluster has no folder to fall back on.
     """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    current = spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir", None)
+    current = context.getCheckpointDir()
     if not named and current is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="palimpsest-"))
-        current = spark.sparkContext.getCheckpointDir()
+        if not context.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="palimpsest-"))
+        current = context.getCheckpointDir()
     elif current is None:
-        spark.sparkContext.setCheckpointDir(named)
+        context.setCheckpointDir(named)
     return (named or current).rstrip("/")
 
 
@@ -52,7 +55,14 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.stored_at = path
+    return found
+
+
+def drop_stored(df: DataFrame) -> None:
+    """Deletes a table of stored() that no later step reads."""
+    drop_path(df.sparkSession, df.stored_at)
 
 
 def whole_text(text: str = "text", null: str | None = "") -> F.Column:

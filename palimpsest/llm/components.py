@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import drop_stored, stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -35,7 +35,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     current = stored(edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(high.alias("a"), low.alias("b")).distinct(), "edges")
     state = None
     while True:
-        current = stored(_small_star(_large_star(current)), "edges")
+        before, current = current, stored(_small_star(_large_star(current)), "edges")
+        drop_stored(before)
         # both steps leave stars as they are, so equal edges mean the end
         row = current.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if row == state:
