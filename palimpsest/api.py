@@ -20,8 +20,10 @@ FIELDS = {"uid": "uid", "id": "uid", "session": "session_key", "session_key": "s
 def hashed_embedding(text: Column, dimensions: int = 64) -> Column:
     """A deterministic default embedder: words are counted, with signs, by hash. It stands in for a model."""
     words = F.filter(F.split(F.lower(text), r"\W+"), lambda w: w != "")
-    one = lambda k: F.aggregate(words, F.lit(0.0), lambda s, w: s + F.when(F.pmod(F.xxhash64(w), F.lit(dimensions)) == k, F.when(F.xxhash64(w, F.lit(1)) > 0, 1.0).otherwise(-1.0)).otherwise(0.0))
-    return F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), one).cast("array<float>")
+    # each word is hashed once; the places of the plus and of the minus words are then counted
+    places = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(2 * dimensions)).cast("int"))
+    count = lambda found, k: F.size(F.filter(found, lambda p: p == k))
+    return F.transform(F.array(places), lambda found: F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda k: (count(found, 2 * k) - count(found, 2 * k + 1)).cast("float")))[0]
 
 
 class Memory:
@@ -41,7 +43,7 @@ class Memory:
         rows = messages.select("session_key", pick("producer_id", F.lit("user")).alias("producer_id"), pick("producer_role", F.lit("user")).alias("producer_role"), "content", "created_at", pick("metadata", F.lit("{}")).alias("metadata"))
         uid = F.sha2(F.concat_ws("|", "session_key", "producer_id", F.unix_micros("created_at").cast("string"), "content"), 256)
         new = rows.select(uid.alias("uid"), *rows.columns, self.embed(F.col("content")).alias("embedding")).dropDuplicates(["uid"])
-        self.store.change(self.table, lambda df: T.insert_missing(df, new, ["uid"]), EPISODES)
+        self.store.append(self.table, new.join(self._rows().select("uid"), "uid", "left_anti").select(*[f.name for f in self._rows().schema]), EPISODES)
 
     def search(self, query: str, limit: int = 10, where: str | None = None, expand: int = 0, threshold: float | None = None) -> DataFrame:
         """The best episodes for a text, ranked, each with its neighbours in its session if expand > 0."""

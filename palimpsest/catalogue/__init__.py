@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import features, filters, graph, memory, scores, texts, vectors
+from . import config, features, filters, graph, longterm, memory, scores, segments, texts, vectors
 
-MODULES = (filters, vectors, graph, features, memory, texts, scores)
+MODULES = (filters, vectors, graph, features, memory, texts, scores, segments, longterm, config)
 
 
 def queries() -> dict:

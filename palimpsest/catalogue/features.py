@@ -24,7 +24,7 @@ def _threshold(spark, sf):
 def _citations(spark, sf):
     found = features(spark, sf)
     cited = found.where("id % 3 = 0").select(F.col("id").alias("feature_id"), F.concat(F.lit("h"), F.col("id") % 11).alias("history_id")).union(found.where("id % 6 = 0").select("id", F.lit("h99")))
-    return T.with_rows_of(found.where("id < 500").select("id"), cited, "id", "feature_id", "history_id", "citations").select("id", F.concat_ws(",", "citations").alias("citations"))
+    return T.with_rows_of(found.select("id"), cited, "id", "feature_id", "history_id", "citations").select("id", F.concat_ws(",", "citations").alias("citations"))
 
 
 def _group(spark, sf):
@@ -36,11 +36,11 @@ def _profile(spark, sf):
 
 
 def _sections(spark, sf):
-    return P.sections(features(spark, sf), ["set_id", "category", "tag"], 15).select("set_id", "category", "tag", "n")
+    return P.sections(features(spark, sf), ["set_id", "category", "tag"], 15).select("set_id", "category", "tag", "n", "items")
 
 
 def _merged(spark, sf):
-    found = features(spark, sf).where("id % 10 = 0")
+    found = features(spark, sf)
     cited = found.select(F.col("id").alias("feature_id"), F.concat(F.lit("h"), F.col("id") % 7).alias("history_id"))
     return P.merged_citations(found, cited, ["tag", "feature"]).select("tag", "feature", F.concat_ws(",", "citations").alias("citations"))
 
@@ -119,23 +119,28 @@ def _category_sets(spark, sf):
 
 def _effective(spark, sf):
     own, _, _ = _config(spark, sf)
-    defaults = spark.createDataFrame([("cat0",), ("base",)], "name string")
+    defaults = ["cat0", "base"]
     disabled = own.where("set_id % 5 = 0").select("set_id", F.lit("base").alias("name")).union(own.where("set_id % 7 = 0").select("set_id", F.lit("cat0")))
     return C.effective_categories(own, defaults, disabled, own.select("set_id").distinct())
 
 
 OWN = "SELECT n_nationkey AS set_id, 'cat' || (n_nationkey % 4) AS name FROM nation"
 INHERITED = "SELECT n_nationkey AS set_id, c AS name FROM nation, (VALUES ('cat0'), ('cat1'), ('cat2')) v(c)"
-SHAKE = set_id.__globals__["shake"](["user", "nation"])
+SHAKE = "199493c04582"  # shake_256 of "nationuser", six bytes
+
+SECTIONS_SQL = f"""
+SELECT set_id, category, tag, count(*) AS n, '[' || string_agg('{{"tag":"' || tag || '","feature":"' || feature || '","value":"' || value || '","metadata":{{"id":' || id || '}}}}', ',' ORDER BY feature, CAST(value AS VARCHAR), id) || ']' AS items
+FROM ({FEATURES_SQL}) GROUP BY 1, 2, 3 HAVING count(*) >= 15
+"""
 
 QUERIES = {
     "feat_list": (_list, f"SELECT id, feature FROM ({FEATURES_SQL}) WHERE tag = 'click' ORDER BY created_at, id LIMIT 60 OFFSET 120"),
     "feat_page_tag_threshold": (_threshold, f"WITH p AS (SELECT * FROM ({FEATURES_SQL}) ORDER BY created_at, id LIMIT 40 OFFSET 40) SELECT id, tag FROM p QUALIFY count(*) OVER (PARTITION BY tag) >= 8"),
-    "feat_citations": (_citations, "WITH c AS (SELECT event_id AS f, 'h' || (event_id % 11) AS h FROM events WHERE event_id % 3 = 0 UNION ALL SELECT event_id, 'h99' FROM events WHERE event_id % 6 = 0) SELECT event_id AS id, coalesce(string_agg(h, ',' ORDER BY h), '') AS citations FROM events LEFT JOIN c ON f = event_id WHERE event_id < 500 GROUP BY 1"),
+    "feat_citations": (_citations, "WITH c AS (SELECT event_id AS f, 'h' || (event_id % 11) AS h FROM events WHERE event_id % 3 = 0 UNION ALL SELECT event_id, 'h99' FROM events WHERE event_id % 6 = 0) SELECT event_id AS id, coalesce(string_agg(h, ',' ORDER BY h), '') AS citations FROM events LEFT JOIN c ON f = event_id GROUP BY 1"),
     "feat_group": (_group, f"SELECT category, tag, feature, count(*) AS n, min(id) AS first, max(id) AS last FROM ({FEATURES_SQL}) GROUP BY 1, 2, 3"),
     "feat_profile_pivot": (_profile, f"SELECT set_id, tag, feature, arg_max(value, (created_at, id)) AS value FROM ({FEATURES_SQL}) GROUP BY 1, 2, 3"),
-    "feat_sections": (_sections, f"SELECT set_id, category, tag, count(*) AS n FROM ({FEATURES_SQL}) GROUP BY 1, 2, 3 HAVING count(*) >= 15"),
-    "feat_merged_citations": (_merged, f"SELECT tag, feature, string_agg(DISTINCT 'h' || (id % 7), ',' ORDER BY 'h' || (id % 7)) AS citations FROM ({FEATURES_SQL}) WHERE id % 10 = 0 GROUP BY 1, 2"),
+    "feat_sections": (_sections, SECTIONS_SQL),
+    "feat_merged_citations": (_merged, f"SELECT tag, feature, string_agg(DISTINCT 'h' || (id % 7), ',' ORDER BY 'h' || (id % 7)) AS citations FROM ({FEATURES_SQL}) GROUP BY 1, 2"),
     "feat_pending_sets": (_pending, f"SELECT set_id FROM ({HISTORY_SQL}) WHERE NOT ingested GROUP BY 1 HAVING count(*) >= 25"),
     "feat_dirty_union": (_dirty, f"SELECT set_id FROM ({HISTORY_SQL}) WHERE NOT ingested GROUP BY 1 HAVING count(*) >= 30 UNION SELECT set_id FROM ({HISTORY_SQL}) WHERE NOT ingested AND created_at <= TIMESTAMP '2024-01-02'"),
     "feat_purge": (_purge, f"WITH h AS ({HISTORY_SQL}) SELECT set_id, history_id FROM h WHERE ingested AND NOT EXISTS (SELECT 1 FROM h o WHERE o.set_id = h.set_id AND NOT o.ingested)"),

@@ -48,32 +48,32 @@ MERGE_SQL = "WITH m AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER
 
 
 def _segments(spark, sf) -> DataFrame:
-    """Vectors as segments, ordered by label and id."""
-    return vectors(spark, sf).select("uid", F.col("label").alias("ts"), F.col("uid").alias("event_uid"), F.lit(0).alias("index"), F.lit(0).alias("offset"))
+    """Vectors as segments of sessions of a hundred ids, ordered by label and id."""
+    return vectors(spark, sf).select("uid", F.floor(F.col("uid") / 100).alias("session"), F.col("label").alias("ts"), F.col("uid").alias("event_uid"), F.lit(0).alias("index"), F.lit(0).alias("offset"))
 
 
 def _event_search(spark, sf):
     derivatives = vectors(spark, sf).withColumn("segment_uid", F.col("uid") - F.col("uid") % 2)
-    found = M.event_search(vector_queries(spark, sf), derivatives, _segments(spark, sf), limit=10, expand=4)
+    found = M.event_search(vector_queries(spark, sf), derivatives, _segments(spark, sf), ["session"], limit=10, expand=4)
     return found.select("query_id", "seed", "context_rank", "uid", "distance", F.round("score", 6).alias("score"))
 
 
 SEEDS_SQL = "s AS (SELECT query_id, uid - uid % 2 AS seed, max(score) AS score FROM h GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seed) AS context_rank FROM s)"
 EVENT_SQL = (
-    f"WITH h AS ({knn_sql('cosine', 10)}), {SEEDS_SQL}, n AS (SELECT vec_id AS uid, row_number() OVER (ORDER BY label, vec_id) AS i FROM embeddings) "
-    "SELECT query_id, seed, CAST(context_rank AS INTEGER) AS context_rank, n.uid, CAST(n.i - a.i AS INTEGER) AS distance, score FROM r JOIN n a ON a.uid = seed JOIN n ON n.i BETWEEN a.i - 1 AND a.i + 3"
+    f"WITH h AS ({knn_sql('cosine', 10)}), {SEEDS_SQL}, n AS (SELECT vec_id AS uid, vec_id // 100 AS session, row_number() OVER (PARTITION BY vec_id // 100 ORDER BY label, vec_id) AS i FROM embeddings) "
+    "SELECT query_id, seed, CAST(context_rank AS INTEGER) AS context_rank, n.uid, CAST(n.i - a.i AS INTEGER) AS distance, score FROM r JOIN n a ON a.uid = seed JOIN n ON n.session = a.session AND n.i BETWEEN a.i - 1 AND a.i + 3"
 )
 
 
 def _declarative_search(spark, sf):
     sources = vectors(spark, sf).select("uid", (F.col("uid") - F.col("uid") % 2).alias("episode_uid"))
-    rows = vectors(spark, sf).select("uid", F.col("label").alias("ts"))
-    return M.declarative_search(vector_queries(spark, sf), vectors(spark, sf), sources, rows, most=8, expand=3).select("query_id", "uid", "seed", "distance")
+    rows = vectors(spark, sf).select("uid", F.floor(F.col("uid") / 100).alias("session"), F.col("label").alias("ts"))
+    return M.declarative_search(vector_queries(spark, sf), vectors(spark, sf), sources, rows, ["session"], most=8, expand=3).select("query_id", "uid", "seed", "distance")
 
 
 DECLARATIVE_SQL = (
-    f"WITH h AS ({knn_sql('cosine', 40)}), {SEEDS_SQL}, n AS (SELECT vec_id AS uid, row_number() OVER (ORDER BY label, vec_id) AS i FROM embeddings), "
-    "c AS (SELECT query_id, seed, context_rank, n.uid, n.i - a.i AS d FROM r JOIN n a ON a.uid = seed JOIN n ON n.i BETWEEN a.i - 1 AND a.i + 2), "
+    f"WITH h AS ({knn_sql('cosine', 40)}), {SEEDS_SQL}, n AS (SELECT vec_id AS uid, vec_id // 100 AS session, row_number() OVER (PARTITION BY vec_id // 100 ORDER BY label, vec_id) AS i FROM embeddings), "
+    "c AS (SELECT query_id, seed, context_rank, n.uid, n.i - a.i AS d FROM r JOIN n a ON a.uid = seed JOIN n ON n.session = a.session AND n.i BETWEEN a.i - 1 AND a.i + 2), "
     "o AS (SELECT *, CASE WHEN d >= 0 THEN (d - 0.5) / 2 ELSE -d END AS p FROM c), "
     "f AS (SELECT *, row_number() OVER (PARTITION BY query_id, uid ORDER BY context_rank, p) AS k FROM o), "
     "g AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY context_rank, p, uid) AS j FROM f WHERE k = 1) "

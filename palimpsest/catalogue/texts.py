@@ -51,16 +51,16 @@ def _keys(spark, sf):
 
 
 def _split_batches(spark, sf):
-    """Pieces join to the text; rows of (doc_id, pieces, longest, total)."""
+    """Pieces fit, and join to the text but for white space at their ends."""
     df = read(spark, sf, "documents").select("doc_id", X.segments("text").alias("s"))
     sizes = F.transform("s", lambda x: F.length(x))
-    return df.select("doc_id", (F.array_max(sizes) <= 500).alias("fits"), F.sha2(F.array_join("s", ""), 256).alias("joined"))
+    return df.select("doc_id", F.coalesce(F.array_max(sizes) <= 500, F.lit(True)).alias("fits"), F.sha2(F.regexp_replace(F.array_join("s", ""), r"\s+", ""), 256).alias("joined"))
 
 
 def _candidates(spark, sf):
-    """For each conversation its turns, with its first words as the query."""
+    """For each conversation its turns, with its first turn as the query."""
     df = messages(spark, sf)
-    query = df.where("sequence_num = 0").select(F.col("session_key").alias("query_id"), F.substring("content", 1, 60).alias("query"))
+    query = df.groupBy(F.col("session_key").alias("query_id")).agg(F.min_by("content", "sequence_num").alias("query"))
     return df.select(F.col("session_key").alias("query_id"), F.col("sequence_num").alias("pos"), F.col("content").alias("text")).join(query, "query_id")
 
 
@@ -69,14 +69,14 @@ def _bm25(spark, sf):
 
 
 BM25_SQL = r"""
-WITH q AS (SELECT conv_id, substring(text, 1, 60) AS query FROM conversations WHERE turn = 0),
+WITH q AS (SELECT conv_id, arg_min(text, turn) AS query FROM conversations GROUP BY 1),
 c AS (SELECT conv_id, turn, list_filter(string_split(lower(regexp_replace(text, '[^a-zA-Z0-9_]+', ' ', 'g')), ' '), lambda x: x <> '') AS words, list_filter(string_split(lower(regexp_replace(query, '[^a-zA-Z0-9_]+', ' ', 'g')), ' '), lambda x: x <> '') AS wanted FROM conversations JOIN q USING (conv_id)),
 l AS (SELECT *, len(words) AS dl, count(*) OVER (PARTITION BY conv_id) AS n, avg(len(words)) OVER (PARTITION BY conv_id) AS avgdl FROM c),
 t AS (SELECT conv_id, turn, dl, n, avgdl, word, count(*) AS tf FROM (SELECT conv_id, turn, dl, n, avgdl, unnest(words) AS word FROM l) GROUP BY ALL),
 d AS (SELECT conv_id, n, word, count(*) AS df FROM t GROUP BY ALL),
 i0 AS (SELECT conv_id, word, ln(n - df + 0.5) - ln(df + 0.5) AS idf FROM d),
 i AS (SELECT conv_id, word, CASE WHEN idf < 0 THEN 0.25 * avg(idf) OVER (PARTITION BY conv_id) ELSE idf END AS idf FROM i0),
-w AS (SELECT conv_id, word, count(*) AS times FROM (SELECT conv_id, unnest(wanted) AS word FROM l WHERE turn = 0) GROUP BY ALL),
+w AS (SELECT conv_id, word, count(*) AS times FROM (SELECT conv_id, unnest(any_value(wanted)) AS word FROM l GROUP BY 1) GROUP BY ALL),
 s AS (SELECT conv_id, turn, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM t JOIN w USING (conv_id, word) JOIN i USING (conv_id, word) GROUP BY ALL)
 SELECT conv_id AS query_id, turn AS pos, round(coalesce(score, 0), 5) AS score FROM c LEFT JOIN s USING (conv_id, turn)
 """
@@ -84,16 +84,16 @@ SELECT conv_id AS query_id, turn AS pos, round(coalesce(score, 0), 5) AS score F
 
 def _rrf(spark, sf):
     """Two rankers of each conversation's turns: by length and by turn; texts that repeat add up."""
-    given = _candidates(spark, sf).withColumn("text", F.substring("text", 1, 5))
+    given = _candidates(spark, sf)
     one = given.select("query_id", F.lit("length").alias("ranker"), "pos", "text", F.length("query").cast("double").alias("score"))
     two = given.select("query_id", F.lit("turn"), "pos", "text", F.col("pos").cast("double"))
     return R.reciprocal_ranks(one.union(two)).select("query_id", "text", F.round("score", 8).alias("score"))
 
 
 RRF_SQL = """
-WITH c AS (SELECT conv_id, turn, substring(text, 1, 5) AS text FROM conversations),
+WITH c AS (SELECT conv_id, turn, text FROM conversations),
 r AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rank FROM c UNION ALL SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) FROM c)
-SELECT conv_id AS query_id, text, round(sum(1.0 / (60 + rank)), 8) AS score FROM r WHERE conv_id IN (SELECT conv_id FROM conversations WHERE turn = 0) GROUP BY 1, 2
+SELECT conv_id AS query_id, text, round(sum(1.0 / (60 + rank)), 8) AS score FROM r GROUP BY 1, 2
 """
 
 
@@ -119,10 +119,10 @@ QUERIES = {
     "text_render_line": (_lines, LINE_SQL),
     "text_normalise_ts": (_times, "SELECT event_id AS uid, CASE event_id % 3 WHEN 0 THEN 1709288430 ELSE 1700000000 + event_id END AS seconds FROM events"),
     "text_partition_key": (_keys, "SELECT lower(replace(c_name, '#', '_')) AS name, CASE WHEN regexp_full_match(lower(replace(c_name, '#', '_')), '[a-z0-9_]+') AND length(c_name) <= 32 THEN lower(replace(c_name, '#', '_')) ELSE substring(sha256(lower(replace(c_name, '#', '_'))), 1, 32) END AS own, substring(sha256(c_mktsegment || '/' || lower(replace(c_name, '#', '_'))), 1, 32) AS hashed FROM customer"),
-    "text_segments": (_split_batches, "SELECT doc_id, true AS fits, sha256(text) AS joined FROM documents"),
+    "text_segments": (_split_batches, r"SELECT doc_id, true AS fits, sha256(regexp_replace(coalesce(text, ''), '\s+', '', 'g')) AS joined FROM documents"),
     "text_normalise": (_normal, r"SELECT conv_id, turn, sha256(trim(lower(regexp_replace(text, '\s+', ' ', 'g')))) AS hash FROM conversations"),
     "rank_bm25": (_bm25, BM25_SQL),
     "rank_rrf": (_rrf, RRF_SQL),
-    "rank_identity": (_identity, "SELECT conv_id AS query_id, turn AS pos, CAST(count(*) OVER (PARTITION BY conv_id) - row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS DOUBLE) AS score FROM conversations WHERE conv_id IN (SELECT conv_id FROM conversations WHERE turn = 0)"),
+    "rank_identity": (_identity, "SELECT conv_id AS query_id, turn AS pos, CAST(count(*) OVER (PARTITION BY conv_id) - row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS DOUBLE) AS score FROM conversations"),
     "rank_model": (_reranked, None),
 }

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 def partition_key(session: Column) -> Column:
     """The session key where it is a legal partition key, else 32 hex digits of its SHA-256."""
-    legal = session.rlike("^[a-z0-9_]+$") & (F.length(session) <= 32)
+    legal = session.rlike(r"\A[a-z0-9_]+\z") & (F.length(session) <= 32)
     return F.when(legal, session).otherwise(F.substring(F.sha2(session, 256), 1, 32))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -61,7 +62,7 @@ def parsed_time(text: Column) -> Column:
     """A timestamp of an ISO text, of seconds, or of milliseconds (beyond 1e12) since 1970; else null."""
     number = text.try_cast("double")
     seconds = F.when(F.abs(number) > 1e12, number / 1000).otherwise(number)
-    return F.coalesce(F.timestamp_micros(F.round(seconds * 1_000_000).cast("bigint")), text.try_cast("timestamp"))
+    return F.coalesce(F.timestamp_micros(F.round(seconds * 1_000_000).try_cast("bigint")), text.try_cast("timestamp"))
 
 
 def seconds(epoch: Column) -> Column:
@@ -117,37 +118,53 @@ def word_budget(capacity: Column | int) -> Column:
 
 
 def ids(values: Column) -> Column:
-    """Trimmed, distinct, sorted ids; blank ones go."""
+    """Trimmed, distinct, sorted ids; blank ones go (see some_ids)."""
     return F.array_sort(F.array_distinct(F.filter(F.transform(values, lambda x: F.trim(x)), lambda x: x != "")))
 
 
-#: Separators of the recursive splitter, the strongest first; the empty one cuts anywhere.
-SEPARATORS = ("\n\n", "\n", "。", "！", "？", ". ", "! ", "? ", "；", "; ", "：", ": ", "，", ", ", "、", " ", "")
+def some_ids(*values: Column) -> Column:
+    """ids() of all the arrays together; raises where none is left."""
+    whole = ids(F.flatten(F.array(*[F.coalesce(v, F.array().cast("array<string>")) for v in values])))
+    return F.when(F.size(whole) > 0, whole).otherwise(F.raise_error(F.lit("at least one id is needed")))
+
+
+# The separators of the recursive splitter, the strongest first; the empty one cuts anywhere.
+SEPARATORS = (
+    "\n\n", "],\n", "},\n", "),\n", "]\n", "}\n", ")\n", ",\n", "？\n", "?\n", "！\n", "!\n", "。\n", ".\n", "？", "? ", "！", "! ", "。", ". ", "; ", ": ",
+    "\u2014", "--", "，", "、", ", ", "\u200b", " ", "",
+)
 
 
 def split_text(text: str, most: int = 500, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
-    """Pieces of at most `most` characters that join to the text, cut at the strongest separator that does; separators stay at piece ends."""
-    if len(text) <= most:
-        return [text] if text else []
+    """Pieces of at most `most` characters, cut at the strongest separator that is there; separators stay at piece ends, outer white space goes.
+
+    A part that is too long alone is cut by the weaker separators; its pieces are not joined to what follows.
+    """
+    if not text:
+        return []
     at = next(k for k, s in enumerate(separators) if s in text)
     sep = separators[at]
-    if not sep:
-        return [text[k : k + most] for k in range(0, len(text), most)]
-    parts = text.split(sep)
-    parts = [p + sep for p in parts[:-1]] + ([parts[-1]] if parts[-1] else [])
+    parts = text.split(sep) if sep else list(text)
+    parts = [p + sep for p in parts[:-1]] + [parts[-1]]
     out: list[str] = []
     current = ""
+
+    def close() -> None:
+        if piece := current.strip():
+            out.append(piece)
+
     for part in parts:
-        if len(current) + len(part) <= most:
+        if len(part) >= most and sep:
+            close()
+            current = ""
+            out += split_text(part, most, separators[at + 1 :])
+        elif len(current) + len(part) > most:
+            close()
+            current = part
+        else:
             current += part
-            continue
-        if current:
-            out.append(current)
-        current = part
-        if len(part) > most:
-            *done, current = split_text(part, most, separators[at + 1 :])
-            out += done
-    return [*out, current] if current else out
+    close()
+    return out
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -178,14 +195,63 @@ def word_chunked(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def last_object(reply: str) -> str | None:
-    """The last balanced {...} of a reply."""
-    depth, start, found = 0, 0, None
-    for k, c in enumerate(reply):
-        if c == "{":
-            start = k if depth == 0 else start
-            depth += 1
-        elif c == "}" and depth:
-            depth -= 1
-            if depth == 0:
-                found = reply[start : k + 1]
-    return found
+    """The last {...} of a reply: back from the last brace that closes to the one that opens it; braces inside JSON strings do not count where that gives an object."""
+    end = reply.rfind("}")
+    if end < 0:
+        return None
+    decoder = json.JSONDecoder()
+    starts = [k for k, c in enumerate(reply[: end + 1]) if c == "{"]
+    for k in starts:  # the first start from which JSON reaches the last closing brace holds the rest
+        try:
+            if k + decoder.raw_decode(reply[k:])[1] == end + 1:
+                return reply[k : end + 1]
+        except ValueError:
+            continue
+    depth = 0
+    for k in range(end, -1, -1):
+        depth += (reply[k] == "}") - (reply[k] == "{")
+        if depth == 0:
+            return reply[k : end + 1]
+    return None
+
+
+def reply_lines(reply: Column) -> Column:
+    """The trimmed lines of a reply that are not blank."""
+    return F.filter(F.transform(F.split(reply, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def packed(texts: list[str], most: int, most_chars: int) -> list[list[str]]:
+    """Texts in runs of at most `most`, of at most most_chars characters together; a longer text raises."""
+    if most <= 0 or most_chars <= 0:
+        raise ValueError("the bounds must be positive")
+    out: list[list[str]] = []
+    used = 0
+    for text in texts:
+        if len(text) > most_chars:
+            raise ValueError(f"a text of {len(text)} characters is longer than {most_chars}")
+        if not out or len(out[-1]) >= most or used + len(text) > most_chars:
+            out.append([])
+            used = 0
+        out[-1].append(text)
+        used += len(text)
+    return out
+
+
+def packed_array(texts: Column, most: int, most_chars: int) -> Column:
+    """packed() over an array column."""
+
+    @F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in parts:
+            yield s.map(lambda x: packed(list(x), most, most_chars) if x is not None else None)
+
+    return run(texts)
+
+
+def regrouped(flat: Column, sizes: Column) -> Column:
+    """A flat list as lists of the given sizes; raises unless the sizes add up to its length."""
+    total = F.aggregate(sizes, F.lit(0), lambda s, x: s + x)
+    ends = F.transform(F.sequence(F.lit(1), F.greatest(F.size(sizes), F.lit(1))), lambda k: F.aggregate(F.slice(sizes, F.lit(1), k), F.lit(0), lambda s, x: s + x))
+    lists = F.zip_with(sizes, ends, lambda n, end: F.slice(flat, end - n + 1, n))
+    none = F.when(F.size(sizes) == 0, F.slice(F.array(flat), F.lit(1), F.lit(0))).otherwise(lists)
+    return F.when(total == F.size(flat), none).otherwise(F.raise_error(F.lit("the sizes do not add up to the list's length")))

@@ -56,6 +56,20 @@ def passes(metric: str | None, score: Column, threshold: float | None) -> Column
     return score >= threshold if higher_is_better(metric) else score <= threshold
 
 
+def score_of_distance(distance: Column, metric: str | None = None, squared: bool = False) -> Column:
+    """The score that an index's distance stands for: 1 - d for cosine and dot; l2 of squared distances is their root."""
+    if (metric or "cosine") in ("cosine", "dot"):
+        return 1 - distance
+    return F.sqrt(distance) if squared and metric == "l2" else distance
+
+
+def distance_of_score(score: Column, metric: str | None = None, squared: bool = False) -> Column:
+    """The greatest distance at which a score's threshold holds: the way back of score_of_distance."""
+    if (metric or "cosine") in ("cosine", "dot"):
+        return 1 - score
+    return score * score if squared and metric == "l2" else score
+
+
 def mean(vectors: Column) -> Column:
     """Element-wise mean of an array of vectors, as with the chunks of a text."""
     total = F.aggregate(vectors, F.transform(vectors[0], lambda _: F.lit(0.0)), lambda s, v: F.zip_with(s, v, lambda x, y: x + y.cast("double")))

@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .tables import page
+from palimpsest.functions import vectors as V
+
+from . import search as S
+from .tables import page, without_ids
 
 
 def feature_page(features: DataFrame, size: int | None, number: int | None = None, tag_threshold: int | None = None) -> DataFrame:
@@ -90,3 +93,77 @@ def apply_commands(features: DataFrame, commands: DataFrame, key: list[str]) ->
     last = commands.where("command = 'delete'").groupBy(*key).agg(F.max("seq").alias("__last"))
     log = features.withColumn("seq", F.lit(-1).cast("long")).unionByName(commands.where("command = 'add'").drop("command"))
     return log.join(last, key, "left").where(F.col("__last").isNull() | (F.col("seq") > F.col("__last"))).drop("__last")
+
+
+def add_citations(citations: DataFrame, new: DataFrame) -> DataFrame:
+    """The citations (feature_id, history_id) with new ones, each once."""
+    return citations.unionByName(new).distinct()
+
+
+def history_count(history: DataFrame, sets: DataFrame | None = None, ingested: bool | None = None) -> DataFrame:
+    """n: number of history rows, of the given sets (first column) and with the given mark."""
+    found = history if sets is None else history.join(sets.toDF("set_id").distinct(), "set_id", "left_semi")
+    found = found if ingested is None else found.where(F.col("ingested") == ingested)
+    return found.agg(F.count("*").alias("n"))
+
+
+def add_history(history: DataFrame, new: DataFrame) -> DataFrame:
+    """The history with new (set_id, history_id, created_at) rows, not ingested; rows that are there stay."""
+    fresh = new.dropDuplicates(["set_id", "history_id"]).withColumn("ingested", F.lit(False)).join(history, ["set_id", "history_id"], "left_anti")
+    return history.unionByName(fresh)
+
+
+def delete_history(history: DataFrame, citations: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """History and citations without the given history ids (first column)."""
+    return without_ids(history, ids, "history_id"), without_ids(citations, ids, "history_id")
+
+
+def delete_history_sets(history: DataFrame, sets: DataFrame) -> DataFrame:
+    """The history without the given sets (first column)."""
+    return without_ids(history, sets, "set_id")
+
+
+def feature_search(queries: DataFrame, vectors: DataFrame, features: DataFrame, size: int, number: int = 0, threshold: float | None = None, where: Column | None = None, metric: str | None = None) -> DataFrame:
+    """A page of each query's features by the score of their vectors, with columns of the features; position from 0.
+
+    vectors(id, embedding), features(id, ...). The filter comes after the vector
+    search in meaning, so it takes rows out of the ranking; all vectors are candidates.
+    """
+    given = features if where is None else features.where(where)
+    hits = S.scored(queries, vectors.join(given.select("id"), "id", "left_semi"), metric=metric).where(V.passes(metric, F.col("score"), threshold))
+    best = S.ranked(hits, size * (number + 1), metric, "id").where(F.col("rank") > size * number)
+    return best.select("query_id", "id", "score", (F.col("rank") - 1).alias("position")).join(given, "id")
+
+
+def consolidated(features: DataFrame, citations: DataFrame, replies: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(features, citations) after consolidation of groups of features.
+
+    replies(*keys, keep array of ids, merged array of struct(id, feature, value)): of a
+    group with a reply the features that it does not keep go, with their
+    citations; merged ones come, with the group's keys, and cite all that those
+    that went did. A null keep changes nothing. Merged tags are the group's own.
+    """
+    sound = replies.where(F.col("keep").isNotNull())
+    grouped = features.join(sound.select(*keys, "keep"), keys, "left")
+    gone = grouped.where(F.col("keep").isNotNull() & ~F.array_contains("keep", F.col("id"))).select(*keys, "id")
+    added = sound.select(*keys, F.explode("merged").alias("m")).select(*keys, "m.*")
+    others = [c for c in features.columns if c not in added.columns]
+    left = features.join(gone.select("id"), "id", "left_anti").select(*features.columns)
+    new = added.select(*added.columns, *[F.lit(None).cast(features.schema[c].dataType).alias(c) for c in others])
+    cited = gone.join(citations, F.col("id") == F.col("feature_id")).select(*keys, "history_id").distinct()
+    passed_on = added.select(*keys, F.col("id").alias("feature_id")).join(cited, keys).select("feature_id", "history_id")
+    kept = citations.join(gone.select(F.col("id").alias("feature_id")), "feature_id", "left_anti").select(*citations.columns)
+    return left.unionByName(new.select(*features.columns)), kept.unionByName(passed_on)
+
+
+def next_batch(history: DataFrame, sets: DataFrame, most: int = 5) -> DataFrame:
+    """Of each given set (first column) the first `most` rows that are not ingested, by id."""
+    pending = history.where("NOT ingested").join(sets.toDF("set_id").distinct(), "set_id", "left_semi")
+    order = W.partitionBy("set_id").orderBy("history_id")
+    return pending.withColumn("position", F.row_number().over(order)).where(F.col("position") <= most)
+
+
+def known_and_missing(batch: DataFrame, episodes: DataFrame, uid: str = "uid") -> tuple[DataFrame, DataFrame]:
+    """Of a batch the rows whose episode is there, with its columns, and those whose is not: they leave the history."""
+    there = episodes.withColumnRenamed(uid, "history_id")
+    return batch.join(there, "history_id"), batch.join(there.select("history_id"), "history_id", "left_anti")

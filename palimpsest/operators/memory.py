@@ -38,31 +38,66 @@ def evicted(messages: DataFrame, session: str, order: list[str], capacity: int,
     return messages.withColumns({"__kept": kept, "__done": all_before}).where((F.col("__kept") > capacity) & F.col("__done")).drop("__kept", "__done")
 
 
-def merge_terms(short: DataFrame, long: DataFrame, key: str = "uid", rank: str = "rank") -> DataFrame:
-    """Long-term hits, once each by their best rank, without what short-term memory holds."""
-    once = long.withColumn("__n", F.row_number().over(W.partitionBy(key).orderBy(rank))).where("__n = 1").drop("__n")
-    return once.join(short.select(key), key, "left_anti")
+def merge_terms(short: DataFrame, long: DataFrame, key: str = "uid", rank: str = "rank", by: list[str] | None = None) -> DataFrame:
+    """Long-term hits, once each (for each query, columns `by`) by their best rank, without what short-term memory holds."""
+    keys = [*(by or []), key]
+    once = long.withColumn("__n", F.row_number().over(W.partitionBy(*keys).orderBy(rank))).where("__n = 1").drop("__n")
+    return once.join(short.select(*keys), keys, "left_anti")
 
 
-def event_search(queries: DataFrame, derivatives: DataFrame, segments: DataFrame, limit: int = 20, expand: int = 0, partition: list[str] | None = None, metric: str | None = None, where: Column | None = None) -> DataFrame:
+def event_search(queries: DataFrame, derivatives: DataFrame, segments: DataFrame, partition: list[str], limit: int = 20, expand: int = 0, metric: str | None = None, where: Column | None = None) -> DataFrame:
     """Vector search over derivatives, best score per segment, neighbours of each segment in its order; ranked by seed.
 
-    derivatives(uid, segment_uid, embedding), segments(uid, *partition, ts, event_uid, index, offset).
+    derivatives(uid, segment_uid, embedding), segments(uid, *partition, ts, event_uid, index, offset). The filter holds
+    for seeds and neighbours; longterm.rescored ranks the contexts again by a reranker.
     """
     hits = S.knn(queries, derivatives, limit, metric, tie="uid")
     seeds = S.best_per_seed(hits, "segment_uid", metric)
     backward, forward = C.split_expansion(expand)
-    found = C.neighbours(segments, seeds.select(F.col("segment_uid").alias("seed")), partition or [], ["ts", "event_uid", "index", "offset"], "uid", backward, forward, where)
+    found = C.neighbours(segments, seeds.select(F.col("segment_uid").alias("seed")), partition, ["ts", "event_uid", "index", "offset"], "uid", backward, forward, where)
     return seeds.withColumnRenamed("segment_uid", "seed").withColumnRenamed("seed_rank", "context_rank").join(found, "seed")
 
 
-def declarative_search(queries: DataFrame, derivatives: DataFrame, sources: DataFrame, episodes: DataFrame, most: int = 20, expand: int = 0, partition: list[str] | None = None, metric: str | None = None) -> DataFrame:
-    """Vector search (5 derivatives per wanted episode, 200 at most), source episodes by first hit, contexts, budgeted union."""
+def declarative_contexts(queries: DataFrame, derivatives: DataFrame, sources: DataFrame, episodes: DataFrame, partition: list[str], most: int = 20, expand: int = 0, metric: str | None = None, where: Column | None = None) -> DataFrame:
+    """Vector search (5 derivatives per wanted episode, 200 at most), source episodes by first hit, and the context of each."""
     hits = S.knn(queries, derivatives, min(5 * most, 200), metric, tie="uid")
     seeds = S.best_per_seed(hits.join(sources, "uid"), "episode_uid", metric).withColumnRenamed("episode_uid", "seed").withColumnRenamed("seed_rank", "context_rank")
     backward, forward = C.split_expansion(expand, most)
-    found = C.neighbours(episodes, seeds, partition or [], ["ts", "uid"], "uid", backward, forward)
-    return C.budget_union(seeds.join(found, "seed"), most, ["query_id"], "uid")
+    return seeds.join(C.neighbours(episodes, seeds, partition, ["ts", "uid"], "uid", backward, forward, where), "seed")
+
+
+def declarative_search(queries: DataFrame, derivatives: DataFrame, sources: DataFrame, episodes: DataFrame, partition: list[str], most: int = 20, expand: int = 0, metric: str | None = None, where: Column | None = None) -> DataFrame:
+    """declarative_contexts as one budgeted union."""
+    return C.budget_union(declarative_contexts(queries, derivatives, sources, episodes, partition, most, expand, metric, where), most, ["query_id"], "uid")
+
+
+def summarise(messages: DataFrame, session: str, order: list[str], summaries: DataFrame, summary, capacity: int, content: str = "content") -> tuple[DataFrame, DataFrame]:
+    """(messages left, summaries) after the sessions that are over their capacity hand what is over to `summary(old summary, texts)`.
+
+    The newest messages that fit stay; the older ones go into the session's summary, in order.
+    """
+    newest = W.partitionBy(session).orderBy(*[F.desc(c) for c in order]).rowsBetween(W.unboundedPreceding, 0)
+    sized = messages.withColumn("__chars", F.sum(F.length(content)).over(newest))
+    over = sized.where(F.col("__chars") > capacity)
+    texts = over.groupBy(session).agg(F.transform(F.sort_array(F.collect_list(F.struct(*order, content))), lambda x: x[content]).alias("texts"))
+    run = F.udf(lambda old, new: summary(old or "", list(new)), "string")
+    fresh = texts.join(summaries, session, "left").select(session, run("summary", "texts").alias("summary"))
+    return sized.where(F.col("__chars") <= capacity).drop("__chars"), upsert_summary(summaries, fresh, session)
+
+
+def upsert_summary(summaries: DataFrame, fresh: DataFrame, session: str = "session_key") -> DataFrame:
+    """Summaries (session, summary) with the fresh ones in place of older ones."""
+    return summaries.join(fresh, session, "left_anti").unionByName(fresh)
+
+
+def content_length(messages: DataFrame, session: str, content: str = "content") -> DataFrame:
+    """Characters of each session's messages."""
+    return messages.groupBy(session).agg(F.sum(F.length(content)).alias("chars"))
+
+
+def segment_order(df: DataFrame, by: list[str]) -> DataFrame:
+    """position of each row by time, event, block and offset."""
+    return df.withColumn("position", F.row_number().over(W.partitionBy(*by).orderBy("ts", "event_uid", "index", "offset")))
 
 
 def final_rerank(hits: DataFrame, limit: int, by: list[str], score: str | None = "score", time: list[str] | None = None) -> DataFrame:

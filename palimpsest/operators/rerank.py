@@ -9,12 +9,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from palimpsest.functions import vectors as V
+
 
 def simple_tokens(text: Column) -> Column:
     """Lower-case words."""
     return F.filter(F.split(F.lower(F.regexp_replace(text, r"\W+", " ")), " "), lambda x: x != "")
 
 
+def english_tokens(text: Column) -> Column:
+    """Lower-case words without English stop words (Spark's own list)."""
+    from pyspark.ml.feature import StopWordsRemover
+
+    # apostrophes are no word characters, so the list's contractions are met in parts
+    stop = sorted({part for word in StopWordsRemover.loadDefaultStopWords("english") for part in word.lower().split("'") if part})
+    return F.filter(simple_tokens(text), lambda x: ~x.isin(stop))
+
+
 def bm25(candidates: DataFrame, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, tokens: Callable[[Column], Column] = simple_tokens) -> DataFrame:
     """query_id, pos, score by Okapi BM25 over each query's own candidates.
 
@@ -62,3 +73,28 @@ def by_model(candidates: DataFrame, score: Callable[[str, str], float], chunk: C
 
     pieces = candidates.withColumn("__piece", F.explode_outer(chunk(F.col("text"))) if chunk else F.col("text"))
     return pieces.groupBy("query_id", "pos").agg(F.max(run("query", "__piece")).alias("score"))
+
+
+def by_embedding(candidates: DataFrame, metric: str | None = None) -> DataFrame:
+    """query_id, pos, score of candidates (query_id, pos, query_vector, embedding): similarity, distances negated so that more is better."""
+    score = V.similarity(F.col("query_vector"), F.col("embedding"), metric)
+    return candidates.select("query_id", "pos", (score if V.higher_is_better(metric) else -score).alias("score"))
+
+
+def adjacent_scores(events: DataFrame, cluster: list[str], order: list[str], score: Callable[[str, str], float], text: str = "content") -> DataFrame:
+    """Each event with the score of the next one of its cluster for it as the query; null for the last."""
+
+    @F.pandas_udf("double")
+    def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for queries, texts in parts:
+            yield pd.Series([None if t is None else float(score(q or "", t)) for q, t in zip(queries, texts)], dtype="float64")
+
+    following = F.lead(text).over(W.partitionBy(*cluster).orderBy(*order))
+    return events.withColumn("__next", following).withColumn("score", run(text, "__next")).drop("__next")
+
+
+def blank_as_zero(candidates: DataFrame, scores: DataFrame) -> DataFrame:
+    """query_id, pos, score: the scores, and 0 for blank candidates, which a remote reranker is not asked for."""
+    given = candidates.select("query_id", "pos", (F.trim(F.coalesce("text", F.lit(""))) == "").alias("__blank"))
+    joined = given.join(scores, ["query_id", "pos"], "left")
+    return joined.select("query_id", "pos", F.when(F.col("__blank"), 0.0).otherwise(F.col("score")).alias("score"))

@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 
 
 def by_level(df: DataFrame, first: str, second: str, score: str) -> DataFrame:
-    """Mean (4 digits) and count over all rows and by each of two columns, in one pass of grouping sets."""
-    df.createOrReplaceTempView("__scores")
-    return df.sparkSession.sql(f"SELECT {first}, {second}, round(avg({score}), 4) AS mean, count(*) AS n FROM __scores GROUP BY GROUPING SETS (({first}), ({second}), ())")
+    """Mean (4 digits) and count over all rows and by each of two columns, in one pass of grouping sets.
+
+    level tells them apart where a value is null: 1 by the first, 2 by the second, 3 over all.
+    """
+    a, b = F.col(first), F.col(second)
+    sets = df.groupingSets([[a], [b], []], a, b)
+    return sets.agg(F.round(F.avg(score), 4).alias("mean"), F.count("*").alias("n"), F.grouping_id().cast("int").alias("level"))
 
 
 def tool_report(df: DataFrame, tool: str, correct: Column, hits: Column, facts: Column, retrieved: Column) -> DataFrame:
@@ -34,23 +38,33 @@ def set_scores(reference: Column, found: Column) -> tuple[Column, Column, Column
 
 
 def kendall(ranks: DataFrame, by: list[str]) -> DataFrame:
-    """Kendall's tau-b of two rankings (item, rank_a, rank_b; null: one after the list's last), and normalised to 0..1.
+    """Kendall's tau-b of two rankings (item, rank_a, rank_b; null: one after the list's last), normalised to 0..1, and times F1 of the items.
 
-    Pairs are counted within a list by a self-join on its key; lists are short
-    answers, never tables.
+    Pairs that agree are counted without making pairs: in the order of a, then
+    b, a pair disagrees where the later row has the smaller b. Such inversions are
+    counted by halving the range of b (as a merge sort does): at each of its
+    binary digits, rows with a 1 that precede rows with a 0 in the same half. So a
+    list of n items costs n rows for each of log2(n) digits, whatever its length.
     """
     per = W.partitionBy(*by)
     last = lambda c: F.max(c).over(per) + 1
-    filled = ranks.select(*by, "item", F.coalesce("rank_a", last("rank_a")).alias("a"), F.coalesce("rank_b", last("rank_b")).alias("b"))
-    x, y = filled.alias("x"), filled.alias("y")
-    same = F.lit(True)
-    for c in by:
-        same = same & (F.col(f"x.{c}") == F.col(f"y.{c}"))
-    pairs = x.join(y, same & (F.col("x.item") < F.col("y.item")))
-    da, db = F.signum(F.col("x.a") - F.col("y.a")), F.signum(F.col("x.b") - F.col("y.b"))
-    sums = pairs.groupBy(*[F.col(f"x.{c}").alias(c) for c in by]).agg(F.sum(da * db).alias("s"), F.sum(F.abs(da)).alias("na"), F.sum(F.abs(db)).alias("nb"))
-    tau = F.when(F.col("na") * F.col("nb") > 0, F.col("s") / F.sqrt(F.col("na") * F.col("nb"))).otherwise(0.0)
-    return sums.select(*by, tau.alias("tau"), ((tau + 1) / 2).alias("normalised"))
+    filled = ranks.select(*by, F.coalesce("rank_a", last("rank_a")).alias("a"), F.coalesce("rank_b", last("rank_b")).alias("b"), F.col("rank_a").isNotNull().alias("in_a"), F.col("rank_b").isNotNull().alias("in_b"))
+    placed = filled.withColumn("p", F.row_number().over(per.orderBy("a", "b"))).withColumn("d", F.dense_rank().over(per.orderBy("b")))
+    totals = placed.groupBy(*by).agg(F.count("*").alias("n"), F.sum(F.col("in_a").cast("long")).alias("na"), F.sum(F.col("in_b").cast("long")).alias("nb"), F.sum((F.col("in_a") & F.col("in_b")).cast("long")).alias("both"))
+    ties = lambda *c: placed.groupBy(*by, *c).agg((F.count("*") * (F.count("*") - 1) / 2).alias("t")).groupBy(*by).agg(F.sum("t").alias("t_" + "".join(c)))
+    digit = placed.select(*by, "p", "d", F.explode(F.sequence(F.lit(0), F.lit(30))).alias("k")).withColumn("half", F.expr("shiftright(d, k + 1)")).withColumn("bit", F.expr("shiftright(d, k)").bitwiseAND(F.lit(1)))
+    # digits beyond the longest list's are 0 in every row and count nothing
+    top = placed.agg(F.max("d")).first()[0] or 0
+    digit = digit.where(F.col("k") < max(1, int(top).bit_length()))
+    before = F.sum("bit").over(W.partitionBy(*by, "k", "half").orderBy("p").rowsBetween(W.unboundedPreceding, -1))
+    inversions = digit.withColumn("above", F.coalesce(before, F.lit(0))).groupBy(*by).agg(F.sum(F.when(F.col("bit") == 0, F.col("above")).otherwise(0)).alias("wrong"))
+    whole = totals.join(ties("a"), by).join(ties("b"), by).join(ties("a", "b"), by).join(inversions, by)
+    pairs = F.col("n") * (F.col("n") - 1) / 2
+    score = pairs - F.col("t_a") - F.col("t_b") + F.col("t_ab") - 2 * F.col("wrong")
+    base = F.sqrt((pairs - F.col("t_a")) * (pairs - F.col("t_b")))
+    tau = F.when(base > 0, score / base).otherwise(0.0)
+    f1 = F.when(F.col("na") + F.col("nb") > 0, 2 * F.col("both") / (F.col("na") + F.col("nb"))).otherwise(0.0)
+    return whole.select(*by, tau.alias("tau"), ((tau + 1) / 2).alias("normalised"), ((tau + 1) / 2 * f1).alias("score"))
 
 
 def rubric(df: DataFrame, by: list[str], score: str) -> DataFrame:

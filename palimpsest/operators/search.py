@@ -14,20 +14,23 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import vectors as V
 
-#: Queries that are broadcast at most.
-BROADCAST_QUERIES = 4096
+#: Queries, and bytes of their vectors, that are broadcast at most; beyond either they are dealt over a grid.
+BROADCAST_QUERIES, BROADCAST_BYTES = 4096, 32 << 20
+#: Blocks of candidates in that grid.
+CANDIDATE_BLOCKS = 32
 
 
 def scored(queries: DataFrame, candidates: DataFrame, vector: str = "embedding", metric: str | None = None) -> DataFrame:
-    """Each candidate for each query with its score."""
-    n = queries.limit(BROADCAST_QUERIES + 1).count()
-    if n <= BROADCAST_QUERIES:
+    """Each candidate for each query with its score. Beyond the bounds of a broadcast, blocks of queries meet blocks of candidates, each pair of blocks in a task of its own."""
+    size = queries.limit(BROADCAST_QUERIES + 1).agg(F.count("*").alias("n"), F.sum(F.size("query_vector").cast("long") * 8).alias("bytes")).first()
+    if size.n <= BROADCAST_QUERIES and (size.bytes or 0) <= BROADCAST_BYTES:
         pairs = candidates.join(F.broadcast(queries))
     else:
         blocks = -(-queries.count() // BROADCAST_QUERIES)
-        dealt = queries.withColumn("__block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-        spread = candidates.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        pairs = spread.join(dealt, "__block").drop("__block")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        dealt = queries.withColumn("__q", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("__c", every(CANDIDATE_BLOCKS))
+        spread = candidates.withColumn("__c", F.pmod(F.xxhash64(vector), F.lit(CANDIDATE_BLOCKS)).cast("int")).withColumn("__q", every(blocks))
+        pairs = spread.join(dealt, ["__q", "__c"]).drop("__q", "__c")
     return pairs.withColumn("score", V.similarity(F.col("query_vector"), F.col(vector), metric))
 
 

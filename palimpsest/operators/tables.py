@@ -38,9 +38,10 @@ def page(df: DataFrame, order: list[Column], size: int | None = None, number: in
 
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str], version: Column | str) -> DataFrame:
-    """Old and new rows; of equal keys the one of the highest version."""
-    newest = W.partitionBy(*key).orderBy(F.desc(version))
-    return old.unionByName(new).withColumn("__n", F.row_number().over(newest)).where("__n = 1").drop("__n")
+    """Old and new rows; of equal keys the one of the highest version, then a new one, then the one of the least hash."""
+    newest = W.partitionBy(*key).orderBy(F.desc(version), F.desc("__new"), F.xxhash64(*old.columns))
+    both = old.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)))
+    return both.withColumn("__n", F.row_number().over(newest)).where("__n = 1").drop("__n", "__new")
 
 
 def insert_missing(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:

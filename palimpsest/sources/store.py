@@ -1,11 +1,15 @@
-"""A store of named tables: every change writes a whole new version, readers see the last complete one.
+"""A store of named tables: a table is a base version and the parts appended to it; readers see what is complete.
 
-A version is a folder of Parquet files whose _SUCCESS marker makes it visible,
-so a writer that dies leaves nothing behind that is read.
+A change writes a whole new version, an append only its own rows. A folder of
+Parquet files is seen when its _SUCCESS marker is there, so a writer that dies
+leaves nothing behind that is read. A number is claimed by making its folder of
+claims, which the file system lets only one writer do, so writers at the same
+time get numbers of their own.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +18,10 @@ from pyspark.sql import functions as F
 from palimpsest.operators import tables as T
 
 
+class Conflict(RuntimeError):
+    """Another writer changed the table since it was read."""
+
+
 class TableStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -22,16 +30,28 @@ class TableStore:
         where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
 
-    def versions(self, name: str) -> list[int]:
-        fs, where = self._fs(f"{self.root}/{name}")
+    def _complete(self, folder: str, prefix: str) -> list[str]:
+        """Paths of a folder's complete sub-folders of a prefix."""
+        fs, where = self._fs(folder)
         if not fs.exists(where):
             return []
-        found = [s.getPath() for s in fs.listStatus(where) if s.isDirectory() and s.getPath().getName().startswith("v=")]
-        return sorted(int(p.getName()[2:]) for p in found if fs.exists(self._fs(f"{p.toString()}/_SUCCESS")[1]))
+        found = [s.getPath() for s in fs.listStatus(where) if s.isDirectory() and s.getPath().getName().startswith(prefix)]
+        return sorted(p.toString() for p in found if fs.exists(self._fs(f"{p.toString()}/_SUCCESS")[1]))
+
+    def versions(self, name: str) -> list[int]:
+        return sorted(int(p.rsplit("=", 1)[1]) for p in self._complete(f"{self.root}/{name}", "v="))
 
     def exists(self, name: str) -> bool:
         return bool(self.versions(name))
 
+    def _claim(self, name: str, number: int) -> None:
+        """Makes the claim of a version; a second writer of it fails."""
+        fs, where = self._fs(f"{self.root}/{name}/claims/{number}")
+        try:
+            fs.create(where, False).close()
+        except Exception as error:  # the file is there
+            raise Conflict(f"{name}: version {number} is being written") from error
+
     def read(self, name: str, schema=None) -> DataFrame:
         """The table; an empty one of the schema where there is none yet."""
         found = self.versions(name)
@@ -39,20 +59,38 @@ class TableStore:
             if schema is None:
                 raise KeyError(name)
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.parquet(f"{self.root}/{name}/v={found[-1]}")
+        base = f"{self.root}/{name}/v={found[-1]}"
+        kind = self.spark.read.parquet(base).schema if schema is None else schema
+        return self.spark.read.schema(kind).parquet(base, *self._complete(f"{self.root}/{name}/parts={found[-1]}", "p="))
 
-    def write(self, name: str, df: DataFrame) -> DataFrame:
-        """A new version; the one before stays for its readers, older ones go."""
+    def write(self, name: str, df: DataFrame, after: int | None = None) -> DataFrame:
+        """A new version; the one before stays for its readers, older ones go. after: the version that df was made from."""
         found = self.versions(name)
-        number = found[-1] + 1 if found else 0
-        df.write.mode("overwrite").parquet(f"{self.root}/{name}/v={number}")
-        for old in found[:-1]:
-            fs, where = self._fs(f"{self.root}/{name}/v={old}")
-            fs.delete(where, True)
+        last = (found[-1] if found else -1) if after is None else after
+        self._claim(name, last + 1)
+        df.write.mode("overwrite").parquet(f"{self.root}/{name}/v={last + 1}")
+        for old in [v for v in found if v < last]:
+            for folder in (f"v={old}", f"parts={old}"):
+                fs, where = self._fs(f"{self.root}/{name}/{folder}")
+                fs.delete(where, True)
+        return self.read(name)
+
+    def append(self, name: str, rows: DataFrame, schema=None) -> DataFrame:
+        """The table with more rows; only these are written."""
+        found = self.versions(name)
+        if not found:
+            return self.write(name, self.read(name, schema or rows.schema).unionByName(rows))
+        rows.write.parquet(f"{self.root}/{name}/parts={found[-1]}/p={uuid.uuid4().hex}")
         return self.read(name)
 
     def change(self, name: str, step: Callable[[DataFrame], DataFrame], schema=None) -> DataFrame:
-        return self.write(name, step(self.read(name, schema)))
+        """A new version made by a step from the last one; raises Conflict if another change came between. Appended parts come into it."""
+        found = self.versions(name)
+        return self.write(name, step(self.read(name, schema)), found[-1] if found else -1)
+
+    def compact(self, name: str) -> DataFrame:
+        """The table as one version, without parts."""
+        return self.change(name, lambda df: df)
 
     def drop(self, name: str) -> None:
         fs, where = self._fs(f"{self.root}/{name}")
@@ -80,7 +118,7 @@ class Catalogue:
         if self.config(namespace, name) is not None:
             raise ConfigMismatch(f"{namespace}/{name} is there already")
         row = self.store.spark.createDataFrame([(self.kind, namespace, name, config)], CONFIGS)
-        self.store.change("configs", lambda df: df.unionByName(row), CONFIGS)
+        self.store.append("configs", row, CONFIGS)
 
     def open(self, namespace: str, name: str) -> str:
         if (found := self.config(namespace, name)) is None:
@@ -118,7 +156,7 @@ class Sessions:
         if not self.rows().where(F.col("session_key") == key).isEmpty():
             raise ConfigMismatch(f"session {key} is there already")
         row = self.store.spark.range(1).select(F.lit(key).alias("session_key"), F.current_timestamp().alias("created_at"), F.lit(configuration).alias("configuration"), F.lit(description).alias("description"), F.lit(metadata).alias("metadata"), F.lit("active").alias("status"))
-        self.store.change("sessions", lambda df: df.unionByName(row), SESSIONS)
+        self.store.append("sessions", row, SESSIONS)
 
     def set_status(self, key: str, status: str) -> None:
         self.store.change("sessions", lambda df: df.withColumn("status", F.when(F.col("session_key") == key, status).otherwise(F.col("status"))), SESSIONS)
