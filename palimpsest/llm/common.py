@@ -71,6 +71,34 @@ def whole_text(text: str = "text", null: str | None = "") -> F.Column:
     return column if null is None else F.coalesce(column, F.lit(null))
 
 
+class Cache:
+    """key -> value in two generations: when the young one is full it becomes the old one, and what is asked for again moves up.
+
+    compute gives the values of a list of distinct keys, so that all that one text lacks is worked out together; entries bounds a worker's memory.
+    """
+
+    def __init__(self, compute, entries: int = 300_000):
+        self.compute, self.most = compute, max(1, entries // 2)
+        self.young, self.old = {}, {}
+
+    def many(self, keys: list) -> list:
+        """Values of the keys, in their order."""
+        found = list(map(self.young.get, keys))
+        if None not in found:
+            return found
+        missing = {key: None for key, value in zip(keys, found) if value is None}
+        for key in missing:
+            missing[key] = self.old.get(key)
+        wanted = [key for key, value in missing.items() if value is None]
+        if wanted:
+            missing.update(zip(wanted, self.compute(wanted), strict=True))
+        if len(self.young) + len(missing) > self.most:
+            self.old, self.young = self.young, {}
+        if len(missing) <= self.most:
+            self.young.update(missing)
+        return [missing[key] if value is None else value for key, value in zip(keys, found)]
+
+
 def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: T.StructType | str) -> DataFrame:
     """mapInArrow with one object per task: make() runs once, and what it returns turns a batch into columns."""
     wanted = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
