@@ -2,8 +2,8 @@
 
 A byte pair (x, y) that occurs inside no token can never be merged over, so
 the position between x and y ends a token in every text: a *forced* boundary.
-The encoders here cut a text at forced boundaries, encode each distinct
-fragment once (fragments repeat a lot) and join the ids.
+The encoders here cut a text at forced boundaries, encode each fragment
+independently and join the ids.
 
 Exactness. Merges run in rank order. All tokens of the vocabularies encode to
 themselves, so merging any adjacent pair whose concatenation is a token, lowest
@@ -23,16 +23,18 @@ import re
 import unicodedata
 from array import array
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import regex
 
-#: Entries of a fragment cache before it is emptied; bounds a worker's memory.
-CACHE_ENTRIES = 300_000
-#: Fragments of more bytes are cut at every forced pair; shorter ones are encoded at once.
-LONG = 96
+#: Bytes of a fragment, to the next forced boundary before white space.
+FRAGMENT = 256
+#: Longer fragments, and words, hold long runs with, or without, white space: these are cut at every forced pair, or left to the library, as merging grows with the square of a run's length.
+LONG = 1024
 #: Below this code point letter, number and space classes are the same in all Unicode versions in use.
-STABLE = "ɐ"
+STABLE = "\u0250"
+UNSTABLE = re.compile(f"[{STABLE}-\U0010ffff]")
 ASCII_SPACE = (0x20, 0x0A, 0x0D, 0x09)
 
 
@@ -55,20 +57,6 @@ def inner_pairs(tokens) -> np.ndarray:
     return found
 
 
-class Cache(dict):
-    """fragment -> packed ids; computes what is missing, and starts anew when full."""
-
-    def __init__(self, compute, entries: int = CACHE_ENTRIES):
-        super().__init__()
-        self.compute, self.entries = compute, entries
-
-    def __missing__(self, key):
-        if len(self) >= self.entries:
-            self.clear()
-        value = self[key] = self.compute(key)
-        return value
-
-
 class Merger:
     """Rank-ordered merging of one piece of bytes."""
 
@@ -117,37 +105,39 @@ class ByteBpe:
         before_space[:, list(ASCII_SPACE)] = True
         self.all_cuts = self.forced.ravel()
         self.cut_table = (self.forced & before_space).ravel()
-        self.id_bytes = [np.array([k], dtype=self.dtype).tobytes() for k in range(top + 1)]
-        self.cache = Cache(self.fragment)
+        self.id_bytes = {k: np.array([k], dtype=self.dtype).tobytes() for k in self.special_ids.values()}
 
-    def cuts(self, data: bytes, table: np.ndarray) -> list[int]:
+    def cuts(self, data: bytes, table: np.ndarray) -> np.ndarray:
         """Positions in data at which the pair of neighbours is marked in the table."""
         at = np.frombuffer(data, dtype=np.uint8)
-        return (np.flatnonzero(table[(at[:-1].astype(np.uint16) << 8) | at[1:]]) + 1).tolist()
+        return np.flatnonzero(table[(at[:-1].astype(np.uint16) << 8) | at[1:]]) + 1
 
     def pretokens(self, text: str) -> list[bytes]:
-        if text.isascii() or max(text) < STABLE:
+        if not UNSTABLE.search(text):
             return [piece.encode() for piece in self.PATTERN.findall(text)]
         return [bytes(self.alphabet[c] for c in piece) for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]
 
-    def fragment(self, data: bytes) -> bytes:
-        """Packed ids of one fragment: those of its pre-tokens."""
+    def fragment(self, data: bytes) -> list[int]:
+        """Ids of one fragment; by its pre-tokens where that is needed."""
         text = data.decode()
-        if len(data) <= LONG and (text.isascii() or max(text) < STABLE):
-            return array(self.code, self.merger.core.encode_ordinary(text)).tobytes()
-        return b"".join([self.piece(piece) for piece in self.pretokens(text)])
+        if len(data) <= LONG and not UNSTABLE.search(text):
+            return self.merger.core.encode_ordinary(text)
+        return [k for piece in self.pretokens(text) for k in self.piece(piece)]
 
-    def piece(self, piece: bytes) -> bytes:
-        """Packed ids of one pre-token: cut at its forced pairs, each part merged on its own."""
-        cuts = [0, *self.cuts(piece, self.all_cuts), len(piece)]
-        return array(self.code, [k for i, j in zip(cuts, cuts[1:]) for k in self.merger.ids(piece[i:j])]).tobytes()
+    def piece(self, piece: bytes) -> list[int]:
+        """Ids of one pre-token: cut at its forced pairs, each part merged on its own."""
+        cuts = [0, *self.cuts(piece, self.all_cuts).tolist(), len(piece)]
+        return [k for i, j in zip(cuts, cuts[1:]) for k in self.merger.ids(piece[i:j])]
 
     def plain(self, text: str) -> bytes:
-        if not text:
-            return b""
         data = text.encode()
-        cuts = [0, *self.cuts(data, self.cut_table), len(data)]
-        return b"".join(map(self.cache.__getitem__, [data[i:j] for i, j in zip(cuts, cuts[1:])]))
+        cuts = self.cuts(data, self.cut_table)
+        near = np.unique(np.searchsorted(cuts, np.arange(FRAGMENT, len(data), FRAGMENT)))
+        ids, start = [], 0
+        for end in [*cuts[near[near < len(cuts)]].tolist(), len(data)]:
+            ids += self.fragment(data[start:end])
+            start = end
+        return array(self.code, ids).tobytes()
 
     def encode(self, text: str) -> bytes:
         if self.special is None or not self.special.search(text):
@@ -162,16 +152,28 @@ class ByteBpe:
         return b"".join(map(self.token_bytes.__getitem__, ids)).decode("utf-8", "replace")
 
 
+def apart() -> str:
+    """Pattern of contractions, single numbers and runs of what is no letter, number or space, in lower-cased stable characters."""
+    stable = sorted({c for k in range(1, ord(STABLE)) for c in chr(k).lower()})
+    kind = lambda c: "space" if c.isspace() else unicodedata.category(c)[0]
+    numbers = "".join(c for c in stable if kind(c) == "N")
+    others = "".join(re.escape(c) for c in stable if kind(c) not in ("L", "N", "space"))
+    return f"('(?:s|t|re|ve|m|ll|d)|[{numbers}]|[{others}]+)"
+
+
 class WordBpe:
     """Lower-casing BPE with word ends (</w>) of a tokenizers file.
 
     White space separates words and is dropped, so texts are cut there. The end
-    of a word is written as byte 0xFF, which UTF-8 never holds: "x</w>" is then a
-    merge of x and 0xFF that ranks before all others.
+    of a word is written as character 0 (texts that hold one are left to the
+    tokenizers library): "x</w>" is then a merge of x and 0 that ranks before all
+    others, and no merge goes over a 0.
     """
 
-    PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-    ODD_SPACE = re.compile("[\x1c-\x1f]")
+    #: What the pre-tokeniser sets apart from letters, in texts of stable characters.
+    APART = re.compile(apart())
+    ODD = re.compile("[\x00\x1c-\x1f]")
+    END = b"\0"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -180,41 +182,43 @@ class WordBpe:
             spec = json.load(file)
         alphabet = byte_alphabet()
         end = spec["model"]["end_of_word_suffix"]
-        ranks = {b"\xff": len(spec["model"]["vocab"]) + 1000}
+        ranks: dict[bytes, int] = {}
         for token, rank in spec["model"]["vocab"].items():
             word_end = token.endswith(end) and token != end
-            body = token[: -len(end)] if word_end else token
-            ranks[bytes(alphabet[c] for c in body) + (b"\xff" if word_end else b"")] = rank
-        missing = [bytes([b]) for b in range(256) if bytes([b]) not in ranks]
-        ranks |= {b: len(ranks) + 2000 + k for k, b in enumerate(missing)}
-        self.merger = Merger(ranks)
+            body = bytes(alphabet[c] for c in (token[: -len(end)] if word_end else token))
+            if self.END not in body:
+                ranks[body + self.END * word_end] = rank
+        top = max(ranks.values())
+        # bytes without a token of their own, and the end, only stand before merges
+        ranks |= {bytes([b]): top + 1000 + b for b in range(256) if bytes([b]) not in ranks}
+        self.merger = Merger(ranks, r"[^\x00]+\x00")
         self.library = Tokenizer.from_file(path)
         self.special = special_pattern(spec)
-        self.dtype = np.dtype("<u2") if max(ranks.values()) < 1 << 16 else np.dtype("<u4")
+        self.dtype = np.dtype("<u2") if top + 2000 < 1 << 16 else np.dtype("<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
-        self.words = Cache(self.word)
-        self.cache = Cache(self.fragment)
 
-    def word(self, word: str) -> bytes:
-        return array(self.code, self.merger.ids(word.encode() + b"\xff")).tobytes()
+    def by_library(self, text: str) -> list[int]:
+        return self.library.encode(text, add_special_tokens=False).ids
 
-    def fragment(self, text: str) -> bytes:
-        if text.isascii() or max(text) < STABLE:
-            lower = text.lower()
-            if lower.isalpha():
-                return self.words[lower]
-            return b"".join([self.words[w] for w in self.PATTERN.findall(lower)])
-        return self.by_library(text)
+    def words(self, text: str) -> list[int]:
+        """Ids of a text of stable characters: its words, each ended, in one string."""
+        # runs of ends stand for no word
+        return self.merger.core.encode_ordinary("\0".join("\0".join(self.APART.split(text.lower())).split()) + "\0")
 
-    def by_library(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
+    def short_words(self, text: str) -> bool:
+        data = np.frombuffer(text.encode(), dtype=np.uint8)
+        return len(data) <= LONG or int(np.diff(np.flatnonzero(data <= 0x20), prepend=0, append=len(data)).max()) <= LONG
 
     def encode(self, text: str) -> bytes:
-        if (self.special is not None and self.special.search(text)) or self.ODD_SPACE.search(text):
-            return self.by_library(text)
+        if (self.special is not None and self.special.search(text)) or self.ODD.search(text):
+            return array(self.code, self.by_library(text)).tobytes()
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
-        return b"".join(map(self.cache.__getitem__, text.split()))
+        if not UNSTABLE.search(text) and self.short_words(text):
+            return array(self.code, self.words(text)).tobytes()
+        plain = lambda word: len(word) <= LONG and not UNSTABLE.search(word)
+        runs = [(is_plain, " ".join(run)) for is_plain, run in groupby(text.split(), plain)]
+        return array(self.code, [k for is_plain, run in runs for k in (self.words(run) if is_plain else self.by_library(run))]).tobytes()
 
     def ids(self, text: str) -> np.ndarray:
         return np.frombuffer(self.encode(text), dtype=self.dtype)

@@ -6,9 +6,9 @@ under its SHA-256. A document is a recipe: the ordered names of its chunks and
 their Merkle root. One exchange deals chunks by name; texts are never moved.
 
 Files of a store (Parquet): `parts/kind=chunk` (name, n_ids, data),
-`recipes` (in ascending id order; part, row, local_start, n_ids, chunks, root)
-and `offsets` (ids before each part). Chunk data are little-endian unsigned
-integers of 2 bytes where the vocabulary allows, else 4.
+`recipes` (in ascending id order; part, row, local_start, n_ids, chunks, root),
+`offsets` (ids before each part) and `format` (bytes of an id). Chunk data are
+little-endian unsigned integers of 2 bytes where the vocabulary allows, else 4.
 """
 
 from __future__ import annotations
@@ -177,9 +177,12 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_
     """Writes the store of all documents' ids, each stream followed by end_id.
 
     Null texts count as empty and have the one id end_id. Repeated rows have
-    recipes of their own. An empty table gives a store without rows.
+    recipes of their own. An empty table gives a store without rows. Columns other
+    than the id and the text are ignored, whatever their names.
     """
     spark = docs.sparkSession
+    # written first, so that a store without it was never begun
+    spark.createDataFrame([(bpe.word_bpe(tokenizer).dtype.itemsize,)], "id_bytes int").coalesce(1).write.parquet(f"{path}/format")
     given = docs.select(F.col(id_column).cast("long").alias("doc_id"), whole_text(text_column).alias("text"))
     rows = map_arrow(given, lambda: ChunkTask(tokenizer, end_id), PARTS)
     rows.repartition("name").mapInArrow(_once, PARTS).write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/parts")
@@ -201,6 +204,11 @@ def read_recipes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("doc_id long, n_ids long, chunks array<binary>, root binary, row long, local_start long, part int").parquet(f"{path}/recipes")
 
 
+def id_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of an id in the chunks of a store."""
+    return spark.read.schema("id_bytes int").parquet(f"{path}/format").first().id_bytes
+
+
 class FactsTask:
     """Checks each stored chunk against its name; gives its length and the crc32 of its ids as 32-bit integers."""
 
@@ -223,7 +231,7 @@ class DocumentTask:
         counts, crcs, good = [], [], []
         for facts, root in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
             n = crc = 0
-            for k, x in enumerate(facts):
+            for k, x in enumerate(y for y in facts if y["n"] is not None):  # a missing chunk has no facts
                 crc = self.combine(crc, x["crc"], x["n"] * 4) if k else x["crc"]
                 n += x["n"]
             counts.append(n)
@@ -232,13 +240,16 @@ class DocumentTask:
         return {"doc_id": batch.column(0), "start": batch.column(1), "n_tokens": counts, "ids_crc32": crcs, "verified": good}
 
 
-def read_digests(spark: SparkSession, path: str, id_bytes: int = 2) -> DataFrame:
+def read_digests(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32, verified of every document, from the files of a store.
 
     Chunks are read and checked once each; a document's crc32 is combined from
-    those of its chunks in recipe order, so no chunk data are exchanged.
+    those of its chunks in recipe order, so no chunk data are exchanged. Documents
+    with a chunk that is missing or not as named are not verified; their counts are
+    those of the chunks that are there. A store of no documents gives no row.
     """
-    facts = map_arrow(_parts(spark, path, "chunk").select("name", "data"), lambda: FactsTask(id_bytes), "name binary, n long, crc long, good boolean")
+    size = id_bytes(spark, path)
+    facts = map_arrow(_parts(spark, path, "chunk").select("name", "data"), lambda: FactsTask(size), "name binary, n long, crc long, good boolean")
     recipes = read_recipes(spark, path)
     offsets = F.broadcast(spark.read.schema("part int, before long").parquet(f"{path}/offsets"))
     rows = recipes.select("part", "row", F.posexplode("chunks").alias("pos", "name"))
@@ -247,22 +258,23 @@ def read_digests(spark: SparkSession, path: str, id_bytes: int = 2) -> DataFrame
     return map_arrow(whole.select("doc_id", (F.col("before") + F.col("local_start")).alias("start"), "facts", "root"), DocumentTask, "doc_id long, start long, n_tokens long, ids_crc32 long, verified boolean")
 
 
-def read_ids(spark: SparkSession, path: str, id_bytes: int = 2) -> DataFrame:
-    """doc_id, ids array<long>: every document rebuilt from its recipe."""
+def read_ids(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, ids array<long>: every document whose chunks are all there, rebuilt from its recipe."""
+    size = id_bytes(spark, path)
     chunks = _parts(spark, path, "chunk").select("name", "data")
-    rows = read_recipes(spark, path).select("doc_id", "part", "row", F.posexplode("chunks").alias("pos", "name"))
-    lists = rows.join(chunks, "name").groupBy("part", "row").agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct("pos", "data"))).alias("pieces"))
+    rows = read_recipes(spark, path).select("doc_id", "part", "row", F.size("chunks").alias("n"), F.posexplode("chunks").alias("pos", "name"))
+    lists = rows.join(chunks, "name").groupBy("part", "row", "n").agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct("pos", "data"))).alias("pieces")).where(F.size("pieces") == F.col("n"))
 
     class Rebuild:
         def __call__(self, batch: pa.RecordBatch) -> dict:
-            join = lambda x: np.frombuffer(b"".join(p["data"] for p in x), dtype=f"<u{id_bytes}").tolist()
+            join = lambda x: np.frombuffer(b"".join(p["data"] for p in x), dtype=f"<u{size}").tolist()
             return {"doc_id": batch.column(0), "ids": [join(x) for x in batch.column(1).to_pylist()]}
 
     return map_arrow(lists.select("doc_id", "pieces"), Rebuild, "doc_id long, ids array<long>")
 
 
 def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:
-    """Writes a fresh store in the shared folder and returns read_digests() of it."""
+    """Writes a fresh store in the shared folder and returns read_digests() of it. Nulls, repeats and no rows: see write_store."""
     path = fresh_path(docs.sparkSession, "ids")
     write_store(docs, path, tokenizer, end_id)
     return read_digests(docs.sparkSession, path)

@@ -22,8 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Cache
-from .common import map_arrow, whole_text
+from .common import Cache, map_arrow, whole_text
 
 #: Labelled rows that a model is fitted on, at most.
 SAMPLE = 6000
@@ -57,12 +56,11 @@ class Ordinal:
 
     def __init__(self, weights: dict[str, float], thresholds: Iterable[float]):
         self.weights, self.thresholds = weights, np.array(list(thresholds), dtype=np.float64)
-        self.cache = Cache(lambda word: tuple(f for f in word_features(word) if f in weights), 300_000)
+        self.cache = Cache(lambda words: [tuple(f for f in word_features(word) if f in weights) for word in words])
 
     def score(self, text: str) -> float:
         found: set[str] = set()
-        for word in words(text):
-            found.update(self.cache[word])
+        found.update(*self.cache.many(list(words(text))))
         return sum(sorted(self.weights[f] for f in found))
 
     def at_least(self, scores: np.ndarray) -> np.ndarray:
