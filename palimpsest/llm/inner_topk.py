@@ -26,15 +26,25 @@ from pyspark.sql import functions as F
 from .common import map_arrow, stored
 
 QUERY_BLOCK, CANDIDATE_BLOCK, TILE, LEADING = 1024, 16384, 2048, 16
+#: Squared length that integer vectors stay under, so that every score fits a long.
+LONGEST = 1 << 63
 MATCH = "query_id long, vec_id long, score long"
 
 
 def quantised(df: DataFrame, scale: int, id_column: str, vector_column: str) -> DataFrame:
-    """vec_id, v array<long>: floor(scale * x) of each component; rows with null ids, null vectors, or null or non-finite components go."""
+    """vec_id, v array<long>: floor(scale * x) of each component; rows with null ids, null vectors, or null or non-finite components go.
+
+    A vector whose integer components have squares of a sum of 2^63 or more fails
+    with a message: its inner products would not be sure to fit a long.
+    """
     vector = F.col(vector_column).cast("array<double>")
     given = df.select(F.col(id_column).cast("long").alias("vec_id"), vector.alias("x"))
     sound = F.col("vec_id").isNotNull() & F.col("x").isNotNull() & F.forall("x", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    return given.where(sound).select("vec_id", F.transform("x", lambda x: F.floor(x * scale)).cast("array<long>").alias("v"))
+    whole = given.where(sound).select("vec_id", F.transform("x", lambda x: F.floor(x * scale)).alias("w"), F.transform("x", lambda x: F.floor(x.cast("double") * scale).cast("double")).alias("x"))
+    squares = F.aggregate("x", F.lit(0.0), lambda s, x: s + x * x)
+    # inner products are bounded by the lengths (Cauchy-Schwarz)
+    fits = F.when(squares < float(LONGEST), F.col("w")).otherwise(F.raise_error(F.concat(F.lit("inner products of this vector may not fit 64 bits: vec_id "), F.col("vec_id").cast("string"))))
+    return whole.select("vec_id", fits.cast("array<long>").alias("v"))
 
 
 class GramTask:

@@ -383,6 +383,12 @@ def classes(docs: DataFrame, words: int = 3, at_least: int = 90, of: int = 100,
 
 
 def one_of_each(docs: DataFrame, words: int = 5, at_least: int = 80, of: int = 100) -> DataFrame:
-    """The documents without those that are not the first (smallest id) of their class; columns stay."""
-    others = stored(classes(docs, words, at_least, of).where("component_id != doc_id").select("doc_id"), "others")
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    """The documents without those that are not the first (smallest id) of their class.
+
+    Columns of any name stay as they are. Null and empty texts and null ids stay;
+    rows that repeat an id and its text go or stay together; an empty table stays empty.
+    """
+    others = stored(classes(docs, words, at_least, of).where("component_id != doc_id").select("doc_id").distinct(), "others")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"))
+    kept = rows.join(others.withColumnRenamed("doc_id", "id"), "id", "left_anti")
+    return kept.select(*[F.col(f"row.`{c}`") for c in docs.columns])

@@ -52,15 +52,15 @@ def _given(docs: DataFrame, id_column: str, column: F.Column) -> DataFrame:
 
 
 def encode(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id, ids array<int> of every whole text. Null and empty texts have no ids; repeated rows stay; other columns are ignored."""
+    """doc_id, ids array<int> of every whole text. Null and empty texts have no ids; repeated rows and null ids stay; other columns are ignored, whatever their names; an empty table gives no row."""
     return map_arrow(_given(docs, id_column, whole_text(text_column).alias("text")), lambda: EncodeTask(tokenizer), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, tokenizer: str, id_column: str = "doc_id", ids_column: str = "ids") -> DataFrame:
-    """doc_id, text of every array of ids (null: null). Bytes that are no UTF-8 become U+FFFD."""
+    """doc_id, text of every array of ids (null: null). Bytes that are no UTF-8 become U+FFFD; repeated rows stay; an empty table gives no row."""
     return map_arrow(_given(encoded, id_column, F.col(ids_column).cast("array<int>").alias("ids")), lambda: DecodeTask(tokenizer), "doc_id long, text string")
 
 
 def digests(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: every text encoded and decoded again. Null texts count as empty; repeated rows stay."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: every text encoded and decoded again. Null texts count as empty; repeated rows and null ids stay; other columns are ignored; an empty table gives no row."""
     return map_arrow(_given(docs, id_column, whole_text(text_column).alias("text")), lambda: DigestTask(tokenizer), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -9,6 +9,7 @@ to every path (document, version) whose content is that blob.
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 import pyarrow as pa
@@ -17,7 +18,6 @@ from pyspark.sql import functions as F
 
 from .common import fresh_path, map_arrow, whole_text
 
-RULE_VERSION = "1"
 #: Base kinds in the order in which they are listed.
 BASE_KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -32,6 +32,8 @@ ADDED = (
     ("pat", "gh", re.compile(r"\bgh[pousr]_[A-Za-z0-9]{36,}")),
 )
 KIND_ORDER = {kind: k for k, kind in enumerate((*BASE_KINDS, *(x[0] for x in ADDED)))}
+#: Changes with the rules, so that a ledger never serves findings of other rules.
+RULE_VERSION = hashlib.sha256(repr([KIND_ORDER, ASSIGN.pattern, ACCESS.pattern, HEX.pattern, [(k, x, p.pattern) for k, x, p in ADDED]]).encode()).hexdigest()[:16]
 LEDGER = "blob string, rule_version string, kinds array<string>, starts array<long>, ends array<long>"
 
 
@@ -60,7 +62,10 @@ class ScanTask:
 
 
 def update(versions: DataFrame, ledger: str, rule_version: str = RULE_VERSION, text_column: str = "text") -> DataFrame:
-    """Scans the blobs that the ledger lacks for this rule version, appends them, and returns the findings: one row per blob that has any."""
+    """Scans the blobs that the ledger lacks for this rule version, appends them, and returns the findings: one row per blob that has any.
+
+    Two writers may append the same blob; it counts once. Null texts count as empty.
+    """
     spark = versions.sparkSession
     text = whole_text(text_column)
     blobs = versions.select(F.sha2(text, 256).alias("blob"), text.alias("__text"))
@@ -70,7 +75,7 @@ def update(versions: DataFrame, ledger: str, rule_version: str = RULE_VERSION, t
     # min() of equal texts: the map side sends each blob of a partition once
     unseen = blobs.groupBy("blob").agg(F.min("__text").alias("__text"))
     map_arrow(unseen, lambda: ScanTask(rule_version), LEDGER).write.mode("append").option("compression", "zstd").parquet(ledger)
-    return read_ledger(spark, ledger).where((F.col("rule_version") == rule_version) & (F.size("kinds") > 0)).drop("rule_version")
+    return read_ledger(spark, ledger).where((F.col("rule_version") == rule_version) & (F.size("kinds") > 0)).drop("rule_version").dropDuplicates(["blob"])
 
 
 def scan(versions: DataFrame, ledger: str, rule_version: str = RULE_VERSION, keys: tuple[str, ...] = ("doc_id",), text_column: str = "text") -> DataFrame:
@@ -78,13 +83,14 @@ def scan(versions: DataFrame, ledger: str, rule_version: str = RULE_VERSION, key
 
     Null texts count as empty. Repeated rows and equal texts share one scan and
     each get the findings. Texts without findings have empty arrays. Spans are
-    in code points of the whole text. Columns beyond keys and text are ignored.
+    in code points of the whole text. Columns beyond keys and text are ignored; an
+    empty table gives no row; keys named as the result's columns are not allowed.
     """
     findings = update(versions, ledger, rule_version, text_column)
-    paths = versions.select(*keys, F.sha2(whole_text(text_column), 256).alias("__blob"))
-    joined = paths.join(findings.withColumnRenamed("blob", "__blob"), "__blob", "left")
+    paths = versions.select(F.struct(*[F.col(f"`{k}`") for k in keys]).alias("path"), F.sha2(whole_text(text_column), 256).alias("blob"))
+    joined = paths.join(findings, "blob", "left")
     empty = {"kinds": "array<string>", "starts": "array<long>", "ends": "array<long>"}
-    return joined.select(*keys, F.col("__blob").alias("blob"), *[F.coalesce(F.col(c), F.array().cast(t)).alias(c) for c, t in empty.items()])
+    return joined.select(*[F.col(f"path.`{k}`") for k in keys], "blob", *[F.coalesce(F.col(c), F.array().cast(t)).alias(c) for c, t in empty.items()])
 
 
 def read_ledger(spark: SparkSession, ledger: str) -> DataFrame:
@@ -121,29 +127,33 @@ def redacted(text: str, kinds: list[str], starts: list[int], ends: list[int], ma
 def redact(docs: DataFrame, ledger: str | None = None, rule_version: str = RULE_VERSION, mark: str = "[{}]") -> DataFrame:
     """The documents with every found span replaced by a mark of its kind; n_chars, if there, follows.
 
-    Documents without findings come back as they are, null texts too. Overlapping
-    spans get one mark, of the first kind.
+    Documents without findings come back as they are, null and empty texts too.
+    Overlapping spans get one mark, of the first kind. Repeated rows and ids come
+    back as often; an empty table stays empty; columns of any name are kept.
     """
     hits = update(docs, ledger or fresh_path(docs.sparkSession, "ledger"), rule_version)
-    hits = hits.select(F.col("blob").alias("__blob"), *[F.col(c).alias(f"__{c}") for c in ("kinds", "starts", "ends")])
     columns, schema = docs.columns, docs.schema
-    joined = docs.withColumn("__blob", F.sha2(whole_text(), 256)).join(hits, "__blob", "left").drop("__blob")
+    # one struct, so that no column of the documents meets one of the findings
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.sha2(whole_text(), 256).alias("blob"))
+    joined = rows.join(hits, "blob", "left").select("row", "kinds", "starts", "ends")
 
     def run(batches):
         for batch in batches:
-            kinds = batch.column("__kinds")
-            arrays = [batch.column(c) for c in columns]
+            arrays = batch.column(0).flatten()
+            kinds = batch.column(1)
             if kinds.null_count < len(kinds):
-                texts = batch.column("text").to_pylist()
+                at = columns.index("text")
+                texts = arrays[at].to_pylist()
                 changed = [k for k, x in enumerate(kinds.is_valid().to_pylist()) if x]
-                lengths = batch.column("n_chars").to_pylist() if "n_chars" in columns else None
                 for k in changed:
-                    texts[k] = redacted(texts[k], *[batch.column(f"__{c}")[k].as_py() for c in ("kinds", "starts", "ends")], mark)
-                    if lengths is not None:
+                    texts[k] = redacted(texts[k], *[batch.column(c)[k].as_py() for c in (1, 2, 3)], mark)
+                arrays[at] = pa.array(texts, type=arrays[at].type)
+                if "n_chars" in columns:
+                    at = columns.index("n_chars")
+                    lengths = arrays[at].to_pylist()
+                    for k in changed:
                         lengths[k] = len(texts[k])
-                arrays[columns.index("text")] = pa.array(texts, type=batch.column("text").type)
-                if lengths is not None:
-                    arrays[columns.index("n_chars")] = pa.array(lengths, type=batch.column("n_chars").type)
+                    arrays[at] = pa.array(lengths, type=arrays[at].type)
             yield pa.RecordBatch.from_arrays(arrays, names=columns)
 
     return joined.mapInArrow(run, schema)

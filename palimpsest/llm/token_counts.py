@@ -12,12 +12,14 @@ start, and how many tokens fewer there were; starts reach back no further than
 the longest piece. A last token that cannot be merged across is kept as none.
 Where two characters stand together in no piece, all states collapse to one.
 
-Texts are cut into chunks, after such a collapse where there is one. A chunk
-has a state map, entry -> (exit, count); where a chunk had to be cut elsewhere,
-its entry is first guessed from the characters before the cut. Maps compose
-from left to right: a prefix scan compares each exit with the next entry,
-chunks with a wrong guess get the true entry, and counts are summed. All
-chunks of a batch run in step, one array operation for one character of each.
+Texts are cut into chunks, after such a collapse where there is one: there the
+entry is known. Every other chunk gets a state map, entry -> (exit, count), for
+the entries that the characters before the cut lead to from several distances
+back. Maps are composed by a parallel prefix scan: in each of its rounds the
+composition of 2^k chunks is joined to that of the next 2^k, so a text of n
+chunks takes log2(n) rounds. Where a map lacks an entry that the chunk before it
+exits with, the map is extended, for all such chunks at once, and scanned again.
+All chunks of a batch run in step, one array operation for one character of each.
 """
 
 from __future__ import annotations
@@ -35,8 +37,8 @@ from .common import map_arrow, whole_text
 SPACE = "▁"
 #: Characters of a chunk; a cut moves right, to a collapse of states, by as many at most.
 CHUNK = 512
-#: Characters before a cut from which the entry of the next chunk is guessed.
-LOOK_BACK = 64
+#: Characters before a cut from which the entries of a chunk's state map are found.
+LOOK_BACK = (64, 40, 24)
 #: Characters that run together; bounds memory beside the longest text.
 TOGETHER = 6_000_000
 #: Transitions kept; beyond them the table is built anew.
@@ -278,21 +280,46 @@ class Transducer:
         kinds = self.class_of[codes]
         begins, heads, sure = np.array(begins, dtype=np.int64), np.array(heads, dtype=np.int64), np.array(sure, dtype=bool)
         lengths = np.diff(np.append(begins, len(codes)))
-        entries = np.zeros(len(begins), dtype=np.int64)
-        guess = np.flatnonzero(~sure)
-        if len(guess):
-            back = np.minimum(LOOK_BACK, begins[guess] - heads[guess])
-            entries[guess] = self.run(kinds, begins[guess] - back, back, np.zeros(len(guess), dtype=np.int64))[0]
-        exits, totals = self.run(kinds, begins, lengths, entries)
-        while len(guess):
-            wrong = guess[exits[guess - 1] != entries[guess]]
-            if not len(wrong):
-                break
-            entries[wrong] = exits[wrong - 1]
-            exits[wrong], totals[wrong] = self.run(kinds, begins[wrong], lengths[wrong], entries[wrong])
-        summed = np.concatenate([[0], np.cumsum(totals)])
-        edge = np.searchsorted(begins, np.concatenate([[0], ends]))
-        return np.diff(summed[edge]).tolist()
+        totals = self.scanned(kinds, begins, heads, lengths, sure)
+        edge = np.searchsorted(begins[sure], np.concatenate([[0], ends]))
+        return np.diff(np.concatenate([[0], np.cumsum(totals)])[edge]).tolist()
+
+    def entries(self, kinds: np.ndarray, begins: np.ndarray, heads: np.ndarray, sure: np.ndarray) -> np.ndarray:
+        """Keys (chunk << 32 | state) of the state maps' first entries."""
+        open_chunks = np.flatnonzero(~sure)
+        keys = [np.flatnonzero(sure) << 32]
+        for far in LOOK_BACK if len(open_chunks) else ():
+            back = np.minimum(far, begins[open_chunks] - heads[open_chunks])
+            keys.append(open_chunks << 32 | self.run(kinds, begins[open_chunks] - back, back, np.zeros(len(open_chunks), dtype=np.int64))[0])
+        return np.unique(np.concatenate(keys))
+
+    def scanned(self, kinds: np.ndarray, begins: np.ndarray, heads: np.ndarray, lengths: np.ndarray, sure: np.ndarray) -> np.ndarray:
+        """Counts of each run of chunks from one known entry to the next, by a prefix scan over state maps."""
+        last = np.append(sure[1:], True) if len(sure) else sure
+        runs = np.cumsum(sure) - 1
+        first = np.flatnonzero(sure) << 32
+        known = exits = counts = np.empty(0, dtype=np.int64)
+        fresh = self.entries(kinds, begins, heads, sure)
+        while True:
+            # the maps' rows, in the order of chunk and entry
+            more = self.run(kinds, begins[fresh >> 32], lengths[fresh >> 32], fresh & 0xFFFFFFFF)
+            known, exits, counts = np.concatenate([known, fresh]), np.concatenate([exits, more[0]]), np.concatenate([counts, more[1]])
+            order = np.argsort(known, kind="stable")
+            known, exits, counts = known[order], exits[order], counts[order]
+            n, chunk = len(known), known >> 32
+            follows = chunk + 1 << 32 | exits
+            at = np.minimum(np.searchsorted(known, follows), max(n - 1, 0))
+            there = known[at] == follows if n else np.empty(0, dtype=bool)
+            # row n is a run's end, row n + 1 an entry that the next map lacks
+            jump = np.concatenate([np.where(last[chunk], n, np.where(there, at, n + 1)), [n, n + 1]])
+            composed = np.concatenate([counts, [0, 0]])
+            while (jump[:n] < n).any():
+                composed, jump = composed + composed[jump], jump[jump]
+            rows = np.searchsorted(known, first)
+            lost = jump[rows] == n + 1
+            if not lost.any():
+                return composed[rows]
+            fresh = np.unique(follows[~there & ~last[chunk] & lost[runs[chunk]]])
 
 
 @lru_cache(maxsize=2)
@@ -321,7 +348,8 @@ class CountTask:
 def count_tokens(docs: DataFrame, model: str, limit: int = 4096, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, n_bytes (UTF-8), n_tokens, over_limit of every whole text.
 
-    Null and empty texts have no tokens. Repeated rows stay; other columns are ignored.
+    Null and empty texts have no tokens. Repeated rows stay, null ids too; other
+    columns are ignored, whatever their names; an empty table gives no row.
     """
     text = whole_text(text_column)
     given = docs.select(F.col(id_column).cast("long").alias("doc_id"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))

@@ -163,7 +163,13 @@ def fit(texts: list[str], labels: list[int]) -> Ordinal:
 
 
 def train(docs: DataFrame, labels: DataFrame, label_column: str = "toxic", sample: int = SAMPLE) -> Ordinal:
-    """Fits on the first `sample` labelled rows by a hash of doc_id; null labels and labelled ids without a text are left out."""
+    """Fits on the first `sample` labelled rows by a hash of doc_id; null labels and labelled ids without a text are left out.
+
+    Of labelled texts that share their three words of least hash (near copies) only
+    the first by id is fitted, whatever the labels of the others. No labelled row
+    gives a model that rejects nothing; columns other than the ids, text and label
+    are not looked at.
+    """
     picked = labels.where(F.col(label_column).isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.col(label_column).cast("long").alias("__label"))
     picked = picked.withColumn("__order", F.xxhash64("doc_id")).orderBy("__order", "doc_id", "__label").limit(sample)
     # at most `sample` rows: their size is bounded, so the documents stay where they are
@@ -194,15 +200,24 @@ def score(docs: DataFrame, model: Ordinal, reject_at: float = REJECT_AT) -> Data
 
 
 def keep_clean(docs: DataFrame, model: Ordinal, reject_at: float = REJECT_AT) -> DataFrame:
-    """The documents that are not rejected, whole and with all columns, in one pass."""
+    """The documents that are not rejected, whole and with all columns, in one pass.
+
+    Null and empty texts have no features and stay unless the base severity alone
+    rejects; null ids and repeated rows stay; an empty table stays empty; columns
+    of any name are kept.
+    """
     text = model.to_json()
     columns = docs.columns
 
+    # one struct, as a column's name may hold a point
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
+
     def run(batches):
         ordinal = Ordinal.from_json(text)
         for batch in batches:
-            scores = np.array([ordinal.score(t.as_py() or "") for t in batch.column("text")], dtype=np.float64)
+            arrays = batch.column(0).flatten()
+            scores = np.array([ordinal.score(t.as_py() or "") for t in arrays[columns.index("text")]], dtype=np.float64)
             severity = np.round(ordinal.at_least(scores).sum(axis=1), 9)
-            yield batch.filter(pa.array(severity < reject_at)).select(columns)
+            yield pa.RecordBatch.from_arrays(arrays, names=columns).filter(pa.array(severity < reject_at))
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(run, docs.schema)

@@ -1,3 +1,4 @@
+import random
 """Secret scans and MPEG audio against brute force."""
 
 import hashlib
@@ -103,3 +104,121 @@ def test_parse_column(spark):
     rows = mpeg_audio.parse_column(spark.createDataFrame([("a", media), ("b", None), ("c", b"text")], "name string, clip binary"), "name", "clip").orderBy("name").collect()
     assert [r.frames for r in rows] == [5, 0, 0]
     assert rows[0].vbr == "Xing" and rows[0].vbr_frames == 5 and rows[0].duration == 5 * 1152 / 32000
+
+
+def bits_of(data):
+    return "".join(f"{x:08b}" for x in data)
+
+
+def crc16(bits):
+    """The checksum bit by bit, as the standard draws it: polynomial x^16 + x^15 + x^2 + 1, all ones at the start."""
+    value = [1] * 16
+    for bit in bits:
+        carry = value[0] ^ int(bit)
+        value = value[1:] + [0]
+        if carry:
+            for k in (0, 13, 15):
+                value[k] ^= 1
+    return int("".join(map(str, value)), 2)
+
+
+def protected(head, side_bits, length, rng):
+    """A frame of four header bytes whose first side_bits bits are protected, with random contents after them."""
+    side = bits_of(bytes(rng.randrange(256) for _ in range(-(-len(side_bits) // 8))))
+    whole = side_bits + side[len(side_bits) :]
+    body = int(whole, 2).to_bytes(len(whole) // 8) if whole else b""
+    crc = crc16(bits_of(head[2:4]) + side_bits)
+    return (head + crc.to_bytes(2) + body).ljust(length, b"\x11")
+
+
+def test_checksums_of_layers_one_and_two():
+    rng = random.Random(6)
+    bits = lambda n: "".join(rng.choice("01") for _ in range(n))
+    frames = []
+    # layer I: four bits for each subband and channel; in joint stereo from subband 8 on once
+    for mode, n in ((0x00, 32 * 2 * 4), (0xC0, 32 * 4), (0x50, (8 * 2 + 24) * 4)):
+        frames.append((1, bytes((0xFF, 0xFE, 0xC4, mode)), bits(n)))
+    # layer II at 192 kbit/s and 48 kHz: 27 subbands; at 64 kbit/s and 44.1 kHz stereo: 8; then scale factor bits
+    for head, widths, channels, bound in ((0xA4, [4] * 11 + [3] * 12 + [2] * 4, 2, 32), (0x40, [4, 4] + [3] * 6, 2, 32), (0xA4, [4] * 11 + [3] * 12 + [2] * 4, 2, 4), (0x44, [4] * 11 + [3] * 12 + [2] * 4, 1, 32)):
+        alloc, scale = "", 0
+        for k, w in enumerate(widths):
+            for _ in range(channels if k < bound else 1):
+                x = bits(w)
+                alloc, scale = alloc + x, scale + 2 * ("1" in x) * (1 if k < bound else channels)
+        frames.append((2, bytes((0xFF, 0xFC, head, 0xC0 if channels == 1 else 0x40 if bound == 4 else 0x00)), alloc + bits(scale)))
+    for layer, head, side in frames:
+        h = mpeg_audio.header(head)
+        assert (h.layer, h.protected) == (layer, True)
+        frame = protected(head, side, h.length, rng)
+        found = mpeg_audio.parse(frame * 3)
+        assert (found.frames, found.checked, found.failed) == (3, 3, 0), head.hex()
+        wrong = bytearray(frame * 3)
+        wrong[7] ^= 4
+        assert mpeg_audio.parse(bytes(wrong)).failed == 1
+
+
+def plain(size=0x90):
+    """An unprotected MPEG-1 layer III frame at 44.1 kHz, mono."""
+    head = bytes((0xFF, 0xFB, size, 0xC0))
+    return head.ljust(mpeg_audio.header(head).length, b"\x22")
+
+
+def test_seek_tables_and_gaps():
+    audio = [plain(0x90), plain(0xB0)] * 40
+    info = plain(0x90)
+    sizes, total = [len(x) for x in audio], len(info) + sum(map(len, audio))
+    places = [len(info) + sum(sizes[: p * 80 // 100]) for p in range(100)]
+    toc = bytes(min(255, x * 256 // total) for x in places)
+    lame = b"LAME3.100" + bytes(12) + (576 << 12 | 1000).to_bytes(3) + bytes(12)
+    table = b"Xing" + (15).to_bytes(4) + (80).to_bytes(4) + total.to_bytes(4) + toc + bytes(4) + lame
+    first = info[:21] + table + info[21 + len(table) :]
+    found = mpeg_audio.parse(first + b"".join(audio))
+    assert (found.frames, found.vbr_frames, found.vbr_bytes, len(found.toc), found.toc_wrong) == (80, 80, total, 100, 0)
+    assert (found.delay, found.padding, found.played) == (576, 1000, 80 * 1152 - 1576)
+    bad = first.replace(toc, bytes(100))
+    assert mpeg_audio.parse(bad + b"".join(audio)).toc_wrong > 90
+    entries = b"".join((sum(sizes[k : k + 10])).to_bytes(2) for k in range(0, 80, 10))
+    vbri = b"VBRI" + bytes(6) + total.to_bytes(4) + (80).to_bytes(4) + (8).to_bytes(2) + (1).to_bytes(2) + (2).to_bytes(2) + (10).to_bytes(2) + entries
+    found = mpeg_audio.parse(info[:36] + vbri + info[36 + len(vbri) :] + b"".join(audio))
+    assert (found.vbr, found.vbr_frames, len(found.toc), found.toc_wrong) == ("VBRI", 80, 8, 0)
+
+
+def test_old_unsynchronised_and_ape_tags():
+    old = b"TT2" + (5).to_bytes(3) + b"\0song" + b"TP1" + (4).to_bytes(3) + b"\0\xff\xe0x"
+    unsynchronised = old.replace(b"\xff", b"\xff\0")
+    tag = b"ID3\2\0\x80" + mpeg_audio.syncsafe(len(unsynchronised)) + unsynchronised
+    item = (4).to_bytes(4, "little") + bytes(4) + b"Album\0name"
+    ape = item + b"APETAGEX" + (2000).to_bytes(4, "little") + (len(item) + 32).to_bytes(4, "little") + (1).to_bytes(4, "little") + bytes(12)
+    found = mpeg_audio.parse(tag + plain() * 4 + ape)
+    assert found.tags == {"TIT2": "song", "TPE1": "\xff\xe0x", "APE:Album": "name"} and (found.frames, found.skipped) == (4, 0)
+    assert mpeg_audio.parse(plain() * 4 + ape + b"TAG" + b"t".ljust(125, b"\0")).tags == {"APE:Album": "name", "TIT2": "t"}
+
+
+def test_ape_footer_in_the_payload(spark, documents):
+    """A text that holds what looks like an APE tag's end, at any place, is payload."""
+    fake = "APETAGEX" + "\x01" * 4 + "\x7f\x01\0\0" + "\x01\0\0\0" + "\0" * 12
+    texts = ["y" * k + fake + "z" * z for k in (0, 32, 1400, 2834) for z in (0, 1, 32)]
+    rows = mpeg_audio.read_texts(mpeg_audio.store_texts(documents(texts))).orderBy("doc_id").collect()
+    assert [r.payload_sha256 for r in rows] == [hashlib.sha256(t.encode().ljust(-(-len(t) // 64) * 64, b"\0")).hexdigest() for t in texts]
+
+
+def test_feature_against_a_plain_reader(spark, documents):
+    """Frames, durations, tables and seek offsets of carriers by a reader of its own, that knows their one frame format only."""
+    texts = ["a" * 100, "b" * 3000, "c" * 70_000]
+    stored = mpeg_audio.store_texts(documents(texts))
+    media = {r.doc_id: r.media for r in stored.collect()}
+    kbps = [0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320]
+    for r in mpeg_audio.read_texts(stored).collect():
+        data = media[r.doc_id]
+        at = 10 + sum(x << s for x, s in zip(data[6:10], (21, 14, 7, 0)))
+        places, rates = [], []
+        while at < len(data):
+            assert data[at : at + 2] == b"\xff\xfa"
+            places.append(at)
+            rates.append(kbps[data[at + 2] >> 4])
+            at += 1152 * rates[-1] * 1000 // 32000 // 8
+        places, rates = places[1:], rates[1:]  # the first holds the table
+        seek = zlib.crc32(",".join(map(str, places)).encode())
+        total = len(data) - 10 - sum(x << s for x, s in zip(data[6:10], (21, 14, 7, 0)))
+        assert r.feature == f"mpeg=1;layer=3;frames={len(places)};duration={1152 * len(places)}/32000;table=Xing:{len(places)}:{total}:100/100;kbps={min(rates)}-{max(rates)};crc={len(places) + 1}/{len(places) + 1};skipped=0;seek={len(places)}:{seek}"
+        assert r.media_sha256 == hashlib.sha256(data).hexdigest() and list(r.seek_offsets) == places

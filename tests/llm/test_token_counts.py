@@ -27,7 +27,7 @@ def test_counts_equal_library(library):
 
 
 def test_wrong_guesses_are_mended(library, monkeypatch):
-    monkeypatch.setattr(token_counts, "LOOK_BACK", 1)
+    monkeypatch.setattr(token_counts, "LOOK_BACK", (1,))
     monkeypatch.setattr(token_counts, "CHUNK", 16)
     rng = random.Random(5)
     texts = ["".join(rng.choice("etaoinshr") for _ in range(3000)) for _ in range(5)]
@@ -54,3 +54,26 @@ def test_sf(spark, small, library):
     texts = {r.doc_id: r.text for r in given.collect()}
     for r in token_counts.count_tokens(given, MODEL).collect():
         assert r.n_tokens == len(library.encode(texts[r.doc_id]))
+
+
+def test_scan_takes_few_rounds(library, monkeypatch):
+    """Maps that lack entries are extended for all chunks at once: far fewer passes than chunks, though every first entry is poor."""
+    monkeypatch.setattr(token_counts, "LOOK_BACK", (1,))
+    monkeypatch.setattr(token_counts, "CHUNK", 16)
+    machine = token_counts.Transducer(MODEL)
+    rng = random.Random(8)
+    text = "".join(rng.choice("etaoinshr") for _ in range(16 * 400))
+    passes = []
+    run = machine.run
+    monkeypatch.setattr(machine, "run", lambda *a: passes.append(len(a[1])) or run(*a))
+    assert machine.counts([text]) == [len(library.encode(text))]
+    assert len(passes) < 12 and sum(passes) < 400 * 6
+
+
+def test_text_of_twenty_megabytes(library):
+    text = ("some words of a very long text, 12 " * 64 + "x" * 700) * 7000
+    assert len(text) > 20_000_000
+    machine = token_counts.transducer(MODEL)
+    part = text[:294_000]
+    assert machine.counts([part, ""]) == [len(library.encode(part)), 0]
+    assert machine.counts([text])[0] > 5_000_000
