@@ -3,8 +3,9 @@
 Vectors become integer vectors. All are rotated by the right singular vectors
 of the whole table (from its d x d Gram matrix, so the driver sees d * d
 numbers), which puts most of the length into the first coordinates. Candidates
-are cut into blocks by descending norm; queries into blocks as well, and each
-pair of blocks is one task. A task walks tiles of candidates by descending
+are cut into blocks by descending norm, at the quantiles of all norms, so that
+the number of blocks follows the rows and not the partitions; queries into
+blocks as well, and each pair of blocks is one task. A task walks tiles of candidates by descending
 length: it stops for a query when length times length cannot reach its k-th
 score; else the partial product over the first coordinates plus the product of
 the residual lengths bounds each score, and what can still count is scored
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 from .common import map_arrow, stored
 
 QUERY_BLOCK, CANDIDATE_BLOCK, TILE, LEADING = 1024, 16384, 2048, 16
+#: Bytes of a block's vectors, at which blocks of many dimensions have fewer rows.
+BLOCK_BYTES = 32 << 20
 #: Squared length that integer vectors stay under, so that every score fits a long.
 LONGEST = 1 << 63
 MATCH = "query_id long, vec_id long, score long"
@@ -72,31 +75,50 @@ def _matrices(column, ids):
         yield d, flat[starts[at][:, None] + np.arange(d)], None if ids is None else ids[at]
 
 
-class BlockTask:
-    """Packs a partition's rows, in their order, into blocks of one dimension: ids, vectors, and the norms' range."""
+BLOCKS = "d int, ids binary, data binary, norm double"
 
-    def __init__(self, rows: int):
-        self.rows, self.waiting = rows, {}
 
-    def _emit(self, whole: bool) -> dict | None:
-        out: dict[str, list] = {k: [] for k in ("d", "ids", "data", "norm")}
-        for d, parts in self.waiting.items():
-            ids, data = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-            while len(ids) >= (self.rows if whole else 1):
-                norms = (data[: self.rows].astype(np.float64) ** 2).sum(axis=1)
-                for column, x in zip(out.values(), (d, ids[: self.rows].tobytes(), data[: self.rows].tobytes(), float(np.sqrt(norms.max()))), strict=True):
-                    column.append(x)
-                ids, data = ids[self.rows :], data[self.rows :]
-            self.waiting[d] = [(ids, data)]
-        return out if out["d"] else None
+def _packed(table: pa.Table) -> pa.Table:
+    """One row of a block's rows (d, vec_id, v): ids, vectors, and the greatest norm."""
+    v = table.column("v").combine_chunks()
+    data = v.values.to_numpy(zero_copy_only=False).astype(np.int64)
+    d = table.column("d")[0].as_py()
+    norms = (data.reshape(len(v), d).astype(np.float64) ** 2).sum(axis=1)
+    row = ([d], [table.column("vec_id").to_numpy().astype(np.int64).tobytes()], [data.tobytes()], [float(np.sqrt(norms.max(initial=0)))])
+    return pa.table([pa.array(x, t) for x, t in zip(row, (pa.int32(), pa.binary(), pa.binary(), pa.float64()))], names=["d", "ids", "data", "norm"])
 
-    def __call__(self, batch: pa.RecordBatch) -> dict | None:
-        for d, data, ids in _matrices(batch.column(1), batch.column(0).to_numpy()):
-            self.waiting.setdefault(d, []).append((ids, data))
-        return self._emit(True)
 
-    def finish(self) -> dict | None:
-        return self._emit(False)
+def blocked(vectors: DataFrame, rows: int, by_norm: bool, name: str) -> DataFrame:
+    """Rows (vec_id, v) in blocks (BLOCKS, block) of about `rows` rows of one dimension each: by descending norm, or by hash.
+
+    The edges between blocks of norms are quantiles of the whole table, one number
+    for each block; where more rows share a norm than a block holds they are dealt
+    over several by a hash of the id.
+    """
+    sized = vectors.withColumn("d", F.size("v")).withColumn("n", F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x))
+    most = lambda d: max(1, min(rows, BLOCK_BYTES // (8 * max(1, d))))
+    counts = {r.d: r.n for r in sized.groupBy("d").agg(F.count("*").alias("n")).collect()}
+    edges: dict[int, list[float]] = {}
+    for d, n in counts.items() if by_norm else ():
+        if (many := -(-n // most(d))) > 1:
+            edges[d] = sorted(set(sized.where(F.col("d") == d).agg(F.percentile_approx("n", [k / many for k in range(1, many)], 10_000).alias("q")).first().q))
+
+    class Place:
+        def __call__(self, batch: pa.RecordBatch) -> dict:
+            d, n = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            band = np.zeros(len(d), dtype=np.int64)
+            for k in np.unique(d).tolist():
+                at = d == k
+                band[at] = np.searchsorted(np.array(edges.get(k, [])), n[at])
+            return {"vec_id": batch.column(0), "v": batch.column(1), "d": d, "band": band}
+
+    placed = stored(map_arrow(sized.select("vec_id", "v", "d", "n"), Place, "vec_id long, v array<long>, d int, band long"), f"{name}-bands")
+    # a row for each block: as many as the rows divided by a block's
+    limits = F.create_map(*[F.lit(x) for d in counts for x in (d, most(d))]) if counts else F.lit(None)
+    parts = placed.groupBy("d", "band").agg(F.ceil(F.count("*") / F.max(limits[F.col("d")])).cast("int").alias("parts")) if counts else placed.select("d", "band", F.lit(1).alias("parts"))
+    dealt = placed.join(F.broadcast(parts), ["d", "band"]).withColumn("part", F.pmod(F.xxhash64("vec_id"), "parts").cast("int"))
+    whole = dealt.select("d", "band", "part", "vec_id", "v").groupBy("d", "band", "part").applyInArrow(lambda table: _packed(table), BLOCKS)
+    return stored(whole.withColumn("block", F.monotonically_increasing_id()), name)
 
 
 def block_topk(q_ids, queries, c_ids, candidates, rotation, k: int, floor_scores: np.ndarray | None = None):
@@ -193,12 +215,8 @@ def top_k(vectors: DataFrame, query_condition: str, k: int = 20, scale: int = 64
     grams = map_arrow(whole.select("v"), GramTask, "d int, gram array<double>")
     sums = grams.select("d", F.posexplode("gram").alias("at", "x")).groupBy("d", "at").agg(F.sum("x").alias("x")).groupBy("d").agg(F.sort_array(F.collect_list(F.struct("at", "x"))).alias("gram"))
     rotations = {r.d: np.linalg.eigh(np.array([x.x for x in r.gram]).reshape(r.d, r.d))[1][:, ::-1] if r.d else np.zeros((0, 0)) for r in sums.collect()}
-    blocks = "d int, ids binary, data binary, norm double"
-    # squared length first, then id: equal lengths spread over the ranges as well
-    length = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x)
-    candidates = whole.withColumn("n", length).repartitionByRange(F.desc("n"), "vec_id").sortWithinPartitions(F.desc("n"), "vec_id").select("vec_id", "v")
-    c_blocks = stored(map_arrow(candidates, lambda: BlockTask(candidate_block), blocks).withColumn("block", F.monotonically_increasing_id()), "candidates")
-    q_blocks = stored(map_arrow(whole.where(query_condition), lambda: BlockTask(query_block), blocks).withColumn("block", F.monotonically_increasing_id()), "queries")
+    c_blocks = blocked(whole, candidate_block, True, "candidates")
+    q_blocks = blocked(whole.where(query_condition), query_block, False, "queries")
     # the block of each dimension with the longest vectors gives every query a first k-th score
     first = c_blocks.groupBy("d").agg(F.max_by("block", F.struct("norm", -F.col("block"))).alias("block"))
     longest = c_blocks.join(F.broadcast(first), ["d", "block"], "left_semi")

@@ -44,3 +44,17 @@ def test_large_components_stay_exact(spark):
     rows = [(0, [3.0e7, 1.0], 0), (1, [2.9e7, 5.0], 0), (2, [2.9e7, 6.0], 0)]
     found = inner_topk.top_k(spark.createDataFrame(rows, SCHEMA), "vec_id = 0").orderBy("rank").collect()
     assert [(r.vec_id, r.score) for r in found] == [(r[3 - 1], r[3]) for r in brute([(i, [float(np.float32(x)) for x in v]) for i, v, _ in rows], 20, lambda i: i == 0)]
+
+
+@pytest.mark.parametrize("same", [False, True])
+def test_blocks_follow_rows(spark, same):
+    """The number of blocks does not depend on the partitions, also where all norms are equal; no row is lost."""
+    rng = np.random.default_rng(3)
+    rows = [(k, [1, 2, 3] if same else rng.integers(-50, 50, 3).tolist()) for k in range(500)]
+    given = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    for n in (1, 40):
+        found = inner_topk.blocked(given.repartition(n), 50, True, "test").collect()
+        assert 10 <= len(found) <= 21
+        ids = np.concatenate([np.frombuffer(r.ids, dtype=np.int64) for r in found])
+        assert sorted(ids.tolist()) == list(range(500))
+        assert len({r.block for r in found}) == len(found)
