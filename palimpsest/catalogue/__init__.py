@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import config, features, filters, graph, longterm, memory, scores, segments, texts, vectors
+from . import config, features, filters, graph, ingestion, longterm, memory, scores, segments, texts, vectors
 
-MODULES = (filters, vectors, graph, features, memory, texts, scores, segments, longterm, config)
+MODULES = (filters, vectors, graph, features, memory, texts, scores, segments, longterm, config, ingestion)
 
 
 def queries() -> dict:

@@ -160,13 +160,9 @@ def _trigger(spark, sf):
     schema = spark.read.parquet(source).schema
     stream = I.files(spark, source, schema, 1)
 
-    def step(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{store}/batch={number}")
-        known = I.read_batches(spark, store, schema)
-        found = P.dirty_sets(known.join(batch.select("set_id").distinct(), "set_id", "left_semi"), 30, F.to_timestamp(F.lit("2024-01-02 00:00:00")))
-        found.write.mode("overwrite").parquet(f"{due}/batch={number}")
-
-    I.drain(stream.writeStream.foreachBatch(step), fresh_path(spark, "state"))
+    I.drain(I.into_batches(stream, store), fresh_path(spark, "state"))
+    write = lambda found, number: found.write.mode("overwrite").parquet(f"{due}/batch={number}")
+    I.drain(I.due_sets(stream, 30, write, lambda: I.read_batches(spark, store, schema), F.to_timestamp(F.lit("2024-01-02 00:00:00"))), fresh_path(spark, "state"))
     return I.read_batches(spark, due, "set_id string").distinct()
 
 
@@ -188,7 +184,23 @@ def _cluster_stream(spark, sf):
     return I.read_batches(spark, out, "set_id long, event_id long, cluster int")
 
 
+def _stm_stream(spark, sf):
+    """Messages in batches dealt by session; how many of a session are summarised after each."""
+    given = messages(spark, sf).select(F.col("session_key").cast("long").alias("session_key"), F.col("sequence_num").cast("long").alias("sequence_num"), "content")
+    source, out = fresh_path(spark, "source"), fresh_path(spark, "stm")
+    given.repartition(4, "session_key").write.parquet(source)
+    I.drain(I.into_batches(I.short_term_state(I.files(spark, source, given.schema, 1), 1200), out), fresh_path(spark, "state"))
+    return I.read_batches(spark, out, "session_key long, sequence_num long, summarised long")
+
+
+STM_STREAM_SQL = """
+WITH c AS (SELECT a.conv_id, a.turn, b.turn AS from_turn, sum(length(m.text)) AS chars FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn <= a.turn JOIN conversations m ON m.conv_id = a.conv_id AND m.turn BETWEEN b.turn AND a.turn GROUP BY ALL)
+SELECT conv_id AS session_key, turn AS sequence_num, count(*) FILTER (chars > 1200) AS summarised FROM c GROUP BY 1, 2
+"""
+
+
 QUERIES = {
+    "stream_short_term": (_stm_stream, STM_STREAM_SQL),
     "stm_context": (_stm, _stm_sql("true", 50, 400, 3)),
     "stm_context_filtered": (_stm_filtered, _stm_sql("role = 'user'", 0, 300, 1000000)),
     "stm_evict": (_evict, EVICT_SQL),

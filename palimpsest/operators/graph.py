@@ -46,3 +46,10 @@ def cascade(gone: DataFrame, links: list[tuple[DataFrame, str, str]]) -> list[Da
         ids = table.join(ids, F.col(parent) == F.col("uid"), "left_semi").select(F.col(child).alias("uid")).distinct()
         out.append(ids)
     return out
+
+
+def add_nodes(nodes: DataFrame, new: DataFrame) -> DataFrame:
+    """The nodes with new ones; a uid that is there already raises when the result is read."""
+    known = nodes.select("uid", F.lit(True).alias("__known"))
+    checked = new.join(known, "uid", "left").withColumn("uid", F.when(F.col("__known"), F.raise_error(F.concat(F.lit("a node is there already: "), F.col("uid").cast("string")))).otherwise(F.col("uid"))).drop("__known")
+    return nodes.unionByName(checked)

@@ -76,3 +76,17 @@ def with_rows_of(parents: DataFrame, children: DataFrame, parent_key: str, child
     lists = children.groupBy(F.col(child_key).alias("__id")).agg(F.array_sort(F.collect_list(value)).alias(name))
     kind = children.schema[value].dataType.simpleString()
     return parents.join(lists, F.col(parent_key) == F.col("__id"), "left").drop("__id").withColumn(name, F.coalesce(name, F.array().cast(f"array<{kind}>")))
+
+
+def numbered(df: DataFrame, order: list[str]) -> DataFrame:
+    """The rows with `number`, from 0, in an order that ends in a unique key.
+
+    Ranges are numbered apart and moved by the rows of those before them, of which
+    there are as many as partitions, so no task sees all rows.
+    """
+    from palimpsest.session import stored
+
+    within = W.partitionBy("__part").orderBy(*order)
+    ranged = stored(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ranges")
+    before = ranged.groupBy("__part").agg(F.count("*").alias("n")).withColumn("__before", F.coalesce(F.sum("n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    return ranged.join(F.broadcast(before), "__part").withColumn("number", F.col("__before") + F.row_number().over(within) - 1).drop("__part", "__before")

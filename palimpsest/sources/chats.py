@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.operators.tables import numbered
+
 CHAT_EXPORT = "id string, title string, create_time double, mapping map<string, struct<message: struct<id: string, author: struct<role: string>, content: struct<content_type: string, parts: array<string>>, create_time: double>>>"
 
 
@@ -67,5 +69,6 @@ def resume(messages: DataFrame, succeeded: DataFrame, failed: DataFrame | None =
 
 
 def export_batches(messages: DataFrame, path: str, order: list[str], per_file: int = 1000) -> None:
-    """Numbered JSON files of at most per_file rows, in order."""
-    messages.repartitionByRange(*order).sortWithinPartitions(*order).write.option("maxRecordsPerFile", per_file).json(path)
+    """JSON batches batch=0, 1, ... of per_file rows each, in order; the last one may be shorter."""
+    rows = numbered(messages, order).withColumn("batch", F.floor(F.col("number") / per_file).cast("long"))
+    rows.repartition("batch").sortWithinPartitions("batch", "number").drop("number").write.partitionBy("batch").json(path)

@@ -92,6 +92,32 @@ def online_clusters(stream: DataFrame, threshold: float = 0.3) -> DataFrame:
     return stream.groupBy("set_id").applyInPandasWithState(step, "set_id long, event_id long, cluster int", state_schema, "append", GroupStateTimeout.NoTimeout)
 
 
+def short_term_state(stream: DataFrame, capacity: int) -> DataFrame:
+    """session_key, sequence_num, summarised of a stream (session_key, sequence_num, content): how many of a session's messages have gone to its summary after each message.
+
+    The state of a session is the lengths of the messages that still fit and the
+    number of those that do not; messages of a batch count in the order of their
+    numbers, so results do not depend on how the stream is cut into batches.
+    """
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        gone, lengths = state.get if state.exists else (0, [])
+        lengths = list(lengths)
+        rows = sorted((int(n), len(text or "")) for frame in frames for n, text in zip(frame.sequence_num, frame.content))
+        out, used = [], sum(lengths)
+        for _, length in rows:
+            lengths.append(length)
+            used += length
+            while lengths and used > capacity:
+                used -= lengths.pop(0)
+                gone += 1
+            out.append(gone)
+        state.update((gone, lengths))
+        yield pd.DataFrame({"session_key": [key[0]] * len(rows), "sequence_num": [n for n, _ in rows], "summarised": out})
+
+    return stream.groupBy("session_key").applyInPandasWithState(step, "session_key long, sequence_num long, summarised long", "gone long, lengths array<long>", "append", GroupStateTimeout.NoTimeout)
+
+
 def session_windows(stream: DataFrame, time: str, gap: str, key: list[str], delay: str = "1 day") -> DataFrame:
     """Sessions by a time gap (an extension: the watermark is this library's choice)."""
     return stream.withWatermark(time, delay).groupBy(*key, F.session_window(time, gap)).agg(F.count("*").alias("n"))
