@@ -77,7 +77,7 @@ class Cache:
     compute gives the values of a list of distinct keys, so that all that one text lacks is worked out together; entries bounds a worker's memory.
     """
 
-    def __init__(self, compute, entries: int = 300_000):
+    def __init__(self, compute, entries: int = 100_000):
         self.compute, self.most = compute, max(1, entries // 2)
         self.young, self.old = {}, {}
 
@@ -99,6 +99,16 @@ class Cache:
         return [missing[key] if value is None else value for key, value in zip(keys, found)]
 
 
+#: Rows that a task takes at once; bounds what stands beside the texts of an Arrow batch.
+ROWS = 2_000
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most ROWS rows, without copies."""
+    for at in range(0, batch.num_rows, ROWS):
+        yield batch.slice(at, ROWS)
+
+
 def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: T.StructType | str) -> DataFrame:
     """mapInArrow with one object per task: make() runs once, and what it returns turns a batch into columns."""
     wanted = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
@@ -106,12 +116,14 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             columns = step(batch)
             if columns is not None:
                 yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in arrow], schema=arrow)
         finish = getattr(step, "finish", None)
         if finish is not None and (columns := finish()) is not None:
             yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in arrow], schema=arrow)
+        # a worker stays for later tasks, what it has no use for goes back
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, wanted)

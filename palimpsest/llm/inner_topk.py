@@ -67,9 +67,11 @@ class GramTask:
 def _matrices(column, ids):
     """(dimension, int64 matrix, ids) for each dimension of a list column."""
     lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    sizes = np.diff(lists.offsets.to_numpy())
-    flat = lists.values.to_numpy(zero_copy_only=False).astype(np.int64)
-    starts = lists.offsets.to_numpy()[:-1]
+    offsets = lists.offsets.to_numpy().astype(np.int64)
+    sizes = np.diff(offsets)
+    # of a part of a batch, its own values only
+    flat = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).to_numpy(zero_copy_only=False).astype(np.int64)
+    starts = offsets[:-1] - offsets[0]
     for d in np.unique(sizes).tolist():
         at = np.flatnonzero(sizes == d)
         yield d, flat[starts[at][:, None] + np.arange(d)], None if ids is None else ids[at]

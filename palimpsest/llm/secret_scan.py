@@ -131,22 +131,22 @@ def redact(docs: DataFrame, ledger: str | None = None, rule_version: str = RULE_
     Overlapping spans get one mark, of the first kind. Repeated rows and ids come
     back as often; an empty table stays empty; columns of any name are kept.
     """
-    hits = update(docs, ledger or fresh_path(docs.sparkSession, "ledger"), rule_version)
+    hits = update(docs.select("text"), ledger or fresh_path(docs.sparkSession, "ledger"), rule_version)
     columns, schema = docs.columns, docs.schema
-    # one struct, so that no column of the documents meets one of the findings
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.sha2(whole_text(), 256).alias("blob"))
-    joined = rows.join(hits, "blob", "left").select("row", "kinds", "starts", "ends")
+    # columns by place, so that none of the documents' meets one of the findings'
+    rows = docs.toDF(*[f"c{k}" for k in range(len(columns))]).withColumn("blob", F.sha2(whole_text(f"c{columns.index('text')}"), 256))
+    joined = rows.join(hits, "blob", "left").drop("blob")
 
     def run(batches):
         for batch in batches:
-            arrays = batch.column(0).flatten()
-            kinds = batch.column(1)
-            if kinds.null_count < len(kinds):
+            arrays = batch.columns[: len(columns)]
+            spans = batch.columns[len(columns) :]
+            if spans[0].null_count < len(spans[0]):
                 at = columns.index("text")
                 texts = arrays[at].to_pylist()
-                changed = [k for k, x in enumerate(kinds.is_valid().to_pylist()) if x]
+                changed = [k for k, x in enumerate(spans[0].is_valid().to_pylist()) if x]
                 for k in changed:
-                    texts[k] = redacted(texts[k], *[batch.column(c)[k].as_py() for c in (1, 2, 3)], mark)
+                    texts[k] = redacted(texts[k], *[x[k].as_py() for x in spans], mark)
                 arrays[at] = pa.array(texts, type=arrays[at].type)
                 if "n_chars" in columns:
                     at = columns.index("n_chars")

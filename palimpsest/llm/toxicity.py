@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cache, map_arrow, whole_text
+from .common import Cache, map_arrow, slices, whole_text
 
 #: Labelled rows that a model is fitted on, at most.
 SAMPLE = 6000
@@ -209,15 +209,13 @@ def keep_clean(docs: DataFrame, model: Ordinal, reject_at: float = REJECT_AT) ->
     text = model.to_json()
     columns = docs.columns
 
-    # one struct, as a column's name may hold a point
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
 
     def run(batches):
         ordinal = Ordinal.from_json(text)
-        for batch in batches:
-            arrays = batch.column(0).flatten()
-            scores = np.array([ordinal.score(t.as_py() or "") for t in arrays[columns.index("text")]], dtype=np.float64)
+        for batch in (part for whole in batches for part in slices(whole)):
+            scores = np.array([ordinal.score(t.as_py() or "") for t in batch.column(columns.index("text"))], dtype=np.float64)
             severity = np.round(ordinal.at_least(scores).sum(axis=1), 9)
-            yield pa.RecordBatch.from_arrays(arrays, names=columns).filter(pa.array(severity < reject_at))
+            yield pa.RecordBatch.from_arrays(batch.columns, names=columns).filter(pa.array(severity < reject_at))
 
-    return rows.mapInArrow(run, docs.schema)
+    # by place, as a column's name may hold a point
+    return docs.toDF(*[f"c{k}" for k in range(len(columns))]).mapInArrow(run, docs.schema)
