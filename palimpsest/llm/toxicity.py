@@ -5,8 +5,9 @@ weight vector w for all ordered thresholds. A document's expected severity is
 the sum over k >= 1 of P(grade >= k). Features are presences of words and of
 word beginnings; those that tell the grades apart best are kept.
 
-The model is fitted on the driver from a bounded sample of labelled rows (SAMPLE
-rows, the first by a hash of the id); it is applied to every whole text.
+The model is fitted from a bounded sample of labelled rows (SAMPLE rows, the first
+by a hash of the id): features are counted and chosen on the executors, the driver
+fits their weights. It is applied to every whole text.
 """
 
 from __future__ import annotations
@@ -15,14 +16,16 @@ import heapq
 import json
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Cache, map_arrow, slices, whole_text
+from .common import Cache, map_arrow, slices, stored, whole_text
 
 #: Labelled rows that a model is fitted on, at most.
 SAMPLE = 6000
@@ -117,49 +120,67 @@ def graded(matrix: np.ndarray, toxic: np.ndarray, strong: np.ndarray) -> np.ndar
     return grades
 
 
+def sketch_of(found: set[str]) -> tuple[int, ...]:
+    """The least hashes of a text's words: near copies share them."""
+    return tuple(heapq.nsmallest(SKETCH, (zlib.crc32(w.encode()) for w in found)))
+
+
+def features_of(found: set[str]) -> set[str]:
+    return {f for w in found for f in word_features(w)}
+
+
+def chi_square(seen, hits, n: int, positive: int):
+    """Of a feature's presence (in `seen` of n texts, `hits` of the `positive` ones) against a positive label."""
+    a, b = hits, seen - hits
+    c, d = positive - hits, n - positive - b
+    return n * (a * d - b * c) ** 2 / np.maximum((a + b) * (c + d) * (a + c) * (b + d), 1)
+
+
 def fit(texts: list[str], labels: list[int]) -> Ordinal:
     """A model from texts and integer labels; labels of 0 and 1 only are spread over GRADES (see graded).
 
-    Without a row of a positive grade nothing is ever rejected.
+    Of near copies, which share their words of least hash, one is fitted: else their
+    rare words look telling. Without a row of a positive grade nothing is ever rejected.
     """
-    # of near copies, which share their words of least hash, one is fitted: else their rare words look telling
     seen_sketches: set[tuple] = set()
-    numbers: dict[str, int] = {}
-    cells, kept_labels = [], []  # feature numbers of each fitted document
+    cells, kept_labels = [], []
     for text, label in zip(texts, labels):
         found = words(text)
-        sketch = tuple(heapq.nsmallest(SKETCH, (zlib.crc32(w.encode()) for w in found)))
-        if sketch in seen_sketches:
-            continue
-        seen_sketches.add(sketch)
-        features = {numbers.setdefault(f, len(numbers)) for w in sorted(found) for f in word_features(w)}
-        cells.append(np.sort(np.fromiter(features, dtype=np.int32, count=len(features))))
-        kept_labels.append(label)
+        if (sketch := sketch_of(found)) not in seen_sketches:
+            seen_sketches.add(sketch)
+            cells.append(features_of(found))
+            kept_labels.append(label)
+    n, positive = len(cells), sum(x > 0 for x in kept_labels)
+    if not positive or positive == n:
+        return fit_features([], [], [], kept_labels)
+    seen, hits = Counter(f for c in cells for f in c), Counter(f for c, x in zip(cells, kept_labels) if x > 0 for f in c)
+    able = [(-float(chi_square(np.float64(seen[f]), np.float64(hits[f]), n, positive)), f) for f in seen if seen[f] >= LEAST_DOCUMENTS]
+    names = [f for chi, f in sorted(able)[:FEATURES] if -chi >= LEAST_CHI]
+    place = {f: k for k, f in enumerate(names)}
+    return fit_features(names, [(seen[f], hits[f]) for f in names], [[place[f] for f in c if f in place] for c in cells], kept_labels)
+
+
+def fit_features(names: list[str], counts: list[tuple[int, int]], cells: list[list[int]], kept_labels: list[int]) -> Ordinal:
+    """A model from the chosen features, their counts (texts, positive texts), and the features and label of each text."""
     labels = np.array(kept_labels, dtype=np.int64)
-    n, positive = len(cells), int((labels > 0).sum())
+    n, positive = len(labels), int((labels > 0).sum())
     if not positive or positive == n:
         return Ordinal({}, [50.0] if not positive else [-50.0])
-    flat, row = np.concatenate(cells), np.repeat(np.arange(n, dtype=np.int32), [len(c) for c in cells])
-    del cells
-    seen = np.bincount(flat, minlength=len(numbers))
-    hits = np.bincount(flat, weights=(labels > 0)[row], minlength=len(numbers))
-    # chi-square of presence against a positive label
-    a, b = hits, seen - hits
-    c, d = positive - hits, n - positive - b
-    chi = n * (a * d - b * c) ** 2 / np.maximum((a + b) * (c + d) * (a + c) * (b + d), 1)
-    chi[(seen < LEAST_DOCUMENTS) | (chi < LEAST_CHI)] = 0
-    names = list(numbers)
-    kept = [k for k in sorted(range(len(names)), key=lambda k: (-chi[k], names[k]))[:FEATURES] if chi[k] > 0]
-    place = np.full(len(names), -1)
-    place[kept] = np.arange(len(kept))
-    matrix = np.zeros((n, len(kept)))
-    inside = place[flat] >= 0
-    matrix[row[inside], place[flat[inside]]] = 1
-    strong = np.flatnonzero(np.array([a[k] >= 20 * (b[k] + 0.05) * positive / (n - positive) for k in kept], dtype=bool)) if kept else np.empty(0, dtype=np.int64)
+    matrix = np.zeros((n, len(names)))
+    for row, cell in enumerate(cells):
+        matrix[row, cell] = 1
+    strong = np.array([k for k, (seen, hits) in enumerate(counts) if hits >= 20 * (seen - hits + 0.05) * positive / (n - positive)], dtype=np.int64)
     grades = labels if labels.max() > 1 else graded(matrix, labels, strong)
-    top = int(grades.max())
-    w, thresholds = fit_ordinal(matrix, grades, top)
-    return Ordinal({names[k]: float(x) for k, x in zip(kept, w)}, thresholds)
+    w, thresholds = fit_ordinal(matrix, grades, int(grades.max()))
+    return Ordinal({f: float(x) for f, x in zip(names, w)}, thresholds)
+
+
+class FeaturesTask:
+    """doc_id, label, sketch and features of each text."""
+
+    def __call__(self, batch: pa.RecordBatch) -> dict:
+        found = [words(t.as_py()) for t in batch.column(2)]
+        return {"doc_id": batch.column(0), "label": batch.column(1), "sketch": [",".join(map(str, sketch_of(w))) for w in found], "features": [sorted(features_of(w)) for w in found]}
 
 
 def train(docs: DataFrame, labels: DataFrame, label_column: str = "toxic", sample: int = SAMPLE) -> Ordinal:
@@ -168,14 +189,34 @@ def train(docs: DataFrame, labels: DataFrame, label_column: str = "toxic", sampl
     Of labelled texts that share their three words of least hash (near copies) only
     the first by id is fitted, whatever the labels of the others. No labelled row
     gives a model that rejects nothing; columns other than the ids, text and label
-    are not looked at.
+    are not looked at. Texts stay on the executors: the driver gets the chosen
+    features (FEATURES at most) and which of them each fitted text has.
     """
-    picked = labels.where(F.col(label_column).isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.col(label_column).cast("long").alias("__label"))
-    picked = picked.withColumn("__order", F.xxhash64("doc_id")).orderBy("__order", "doc_id", "__label").limit(sample)
+    picked = labels.where(F.col(label_column).isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.col(label_column).cast("long").alias("label"))
+    picked = picked.withColumn("order", F.xxhash64("doc_id")).orderBy("order", "doc_id", "label").limit(sample).drop("order")
     # at most `sample` rows: their size is bounded, so the documents stay where they are
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text")).where(F.col("text").isNotNull()).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "__label").toArrow()
-    found = sorted(zip(rows["doc_id"].to_pylist(), rows["text"].to_pylist(), rows["__label"].to_pylist()))
-    return fit([x[1] for x in found], [x[2] for x in found])
+    given = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull())
+    rows = given.join(F.broadcast(picked), "doc_id").select("doc_id", "label", "text")
+    found = stored(map_arrow(rows, FeaturesTask, "doc_id long, label long, sketch string, features array<string>"), "labelled")
+    first = W.partitionBy("sketch").orderBy("doc_id", "label", F.xxhash64("features"))
+    kept = stored(found.withColumn("n", F.row_number().over(first)).where("n = 1").select(F.struct("doc_id", "sketch").alias("row"), "label", "features"), "fitted")
+    totals = kept.agg(F.count("*").alias("n"), F.sum((F.col("label") > 0).cast("long")).alias("positive")).first()
+    n, positive = totals.n, totals.positive or 0
+    if not positive or positive == n:
+        return fit_features([], [], [], [1] * positive + [0] * (n - positive))
+    seen = kept.select("label", F.explode("features").alias("feature")).groupBy("feature").agg(F.count("*").cast("double").alias("seen"), F.sum((F.col("label") > 0).cast("double")).alias("hits"))
+    a, b = F.col("hits"), F.col("seen") - F.col("hits")
+    c, d = F.lit(float(positive)) - F.col("hits"), F.lit(float(n - positive)) - b
+    scored = seen.where(F.col("seen") >= LEAST_DOCUMENTS).withColumn("chi", F.lit(float(n)) * (a * d - b * c) * (a * d - b * c) / F.greatest((a + b) * (c + d) * (a + c) * (b + d), F.lit(1.0)))
+    chosen = scored.where(F.col("chi") >= LEAST_CHI).orderBy(F.desc("chi"), "feature").limit(FEATURES).collect()
+    places = {r.feature: k for k, r in enumerate(chosen)}
+
+    class PlacesTask:
+        def __call__(self, batch: pa.RecordBatch) -> dict:
+            return {"doc_id": batch.column(0), "label": batch.column(1), "cell": [[places[f] for f in x if f in places] for x in batch.column(2).to_pylist()]}
+
+    cells = map_arrow(kept.select("row.doc_id", "label", "features"), PlacesTask, "doc_id long, label long, cell array<int>").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
+    return fit_features(list(places), [(int(r.seen), int(r.hits)) for r in chosen], cells["cell"].to_pylist(), cells["label"].to_pylist())
 
 
 class ScoreTask:
