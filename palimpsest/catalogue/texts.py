@@ -107,6 +107,13 @@ def _reranked(spark, sf):
     return R.rerank(given, scores).select("query_id", "pos", "rank", "score")
 
 
+MODEL_SQL = r"""
+WITH q AS (SELECT conv_id, list_distinct(list_filter(regexp_split_to_array(arg_min(text, turn), '\s+'), lambda x: x <> '')) AS query FROM conversations GROUP BY 1),
+s AS (SELECT conv_id, turn, CAST(len(list_intersect(query, list_distinct(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')))) AS DOUBLE) AS score FROM conversations JOIN q USING (conv_id))
+SELECT conv_id AS query_id, turn AS pos, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, turn) AS INTEGER) AS rank, score FROM s
+"""
+
+
 def _normal(spark, sf):
     df = read(spark, sf, "conversations")
     return df.select("conv_id", "turn", F.sha2(X.normalised(F.col("text")), 256).alias("hash"))
@@ -124,5 +131,5 @@ QUERIES = {
     "rank_bm25": (_bm25, BM25_SQL),
     "rank_rrf": (_rrf, RRF_SQL),
     "rank_identity": (_identity, "SELECT conv_id AS query_id, turn AS pos, CAST(count(*) OVER (PARTITION BY conv_id) - row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS DOUBLE) AS score FROM conversations"),
-    "rank_model": (_reranked, None),
+    "rank_model": (_reranked, MODEL_SQL),
 }

@@ -411,3 +411,27 @@ def resolver(plain: dict[str, Column | str], metadata: Column | str | None = Non
         return Plain(found)
 
     return resolve
+
+
+# Names of feature fields in filters, and their columns.
+FEATURE_FIELDS = {
+    "set_id": "set_id", "set": "set_id", "semantic_category_id": "category", "category_name": "category", "category": "category", "tag_id": "tag", "tag": "tag",
+    "feature": "feature", "feature_name": "feature", "value": "value", "created_at": "created_at", "updated_at": "updated_at",
+}
+
+
+def feature_resolver(columns: list[str], metadata: str = "metadata") -> Resolver:
+    """Fields of features that the table has; m.x is its JSON metadata."""
+    return resolver({name: column for name, column in FEATURE_FIELDS.items() if column in columns}, metadata if metadata in columns else None)
+
+
+def segment_resolver(properties: str = "properties", timestamp: str = "ts") -> Resolver:
+    """Fields of segments: timestamp is a column, m.x the typed property x, and any other name the typed system property _name."""
+
+    def resolve(field: str) -> Target:
+        if field == "timestamp":
+            return Plain(F.col(timestamp))
+        name, is_users = normalise_field(field)
+        return TypedProperty(F.col(properties), name if is_users else f"_{field}")
+
+    return resolve

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.operators.tables import numbered
@@ -49,6 +50,43 @@ def passages(spark: SparkSession, path: str) -> DataFrame:
     return found.select("question", F.col("p")[0].alias("title"), text.alias("content"), F.exists("facts", lambda f: f[0] == F.col("p")[0]).alias("supporting"))
 
 
+def titled_passages(spark: SparkSession, path: str) -> DataFrame:
+    """Sentences of question lines whose context is {title: [...], sentences: [[...]]}: one row each, supporting where the facts name title and number."""
+    schema = "id string, question string, answer string, type string, level string, context struct<title:array<string>,sentences:array<array<string>>>, supporting_facts struct<title:array<string>,sent_id:array<int>>"
+    raw = spark.read.schema(schema).json(path)
+    facts = F.arrays_zip(F.col("supporting_facts.title").alias("title"), F.col("supporting_facts.sent_id").alias("sentence"))
+    passages = raw.select("id", "question", "answer", "level", facts.alias("facts"), F.posexplode(F.arrays_zip(F.col("context.title").alias("title"), F.col("context.sentences").alias("sentences"))).alias("passage", "p"))
+    rows = passages.select("id", "question", "answer", "level", "passage", F.col("p.title").alias("title"), "facts", F.posexplode("p.sentences").alias("sentence", "content"))
+    named = F.exists("facts", lambda f: (f["title"] == F.col("title")) & (f["sentence"] == F.col("sentence")))
+    return rows.select("id", "question", "answer", "level", "passage", "title", "sentence", "content", F.coalesce(named, F.lit(False)).alias("supporting"))
+
+
+def batched_chat(spark: SparkSession, path: str, start) -> DataFrame:
+    """Messages of a chat in batches of turns, a second apart from `start` on.
+
+    The file is a list of batches {batch_number, turns: [[message]]}, or of objects
+    whose plan-... keys hold such lists, in their order. Messages without content are
+    left out. The order of a file is kept by a number per file, so one file is one chat.
+    """
+    batch = "struct<batch_number:string,turns:array<array<struct<role:string,content:string,id:string,time_anchor:string,question_type:string,index:string>>>>"
+    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
+    items = raw.select("file", F.posexplode(F.from_json("value", "array<string>")).alias("item", "json"))
+    plans = F.filter(F.json_object_keys("json"), lambda k: k.startswith("plan-"))
+    nested = items.select("file", "item", "json", F.posexplode(plans).alias("plan", "key"))
+    nested = nested.select("file", "item", "plan", F.posexplode(F.from_json(F.element_at(F.from_json("json", "map<string,string>"), F.col("key")), f"array<{batch}>")).alias("at", "b"))
+    flat = items.where(F.size(plans) == 0).select("file", "item", F.lit(0).alias("plan"), F.lit(0).alias("at"), F.from_json("json", batch).alias("b"))
+    batches = nested.unionByName(flat)
+    turns = batches.select("file", "item", "plan", "at", F.coalesce("b.batch_number", F.lit("0")).alias("batch_number"), F.posexplode("b.turns").alias("turn", "messages"))
+    rows = turns.select("file", "item", "plan", "at", "batch_number", "turn", F.posexplode("messages").alias("place", "m")).where(F.col("m.content") != "")
+    order = W.partitionBy("file").orderBy("item", "plan", "at", "turn", "place")
+    n = F.row_number().over(order)
+    role = F.coalesce("m.role", F.lit("user"))
+    return rows.select(
+        "file", n.alias("sequence_num"), F.concat(F.lit("beam_"), role).alias("producer_id"), role.alias("producer_role"), F.col("m.content").alias("content"), (F.lit(start) + F.make_interval(secs=n)).alias("created_at"), "batch_number",
+        F.col("turn").alias("turn_index"), *[F.coalesce(f"m.{c}", F.lit("")).alias(name) for c, name in (("id", "message_id"), ("time_anchor", "time_anchor"), ("question_type", "question_type"), ("index", "index"))],
+    )
+
+
 def import_filter(messages: DataFrame, since=None, limit: int | None = None, title: str | None = None, user_only: bool = False) -> DataFrame:
     """Messages to import, oldest first."""
     found = messages

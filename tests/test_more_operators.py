@@ -1,4 +1,5 @@
 import datetime
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -119,3 +120,67 @@ def test_store_appends_and_conflicts(spark, tmp_path):
         store.write("t", rows(9), after=0)
     store.compact("t")
     assert sorted(r.x for r in store.read("t").collect()) == [1, 3, 4]
+
+
+@pytest.mark.parametrize("name", ["cluster_online", "stream_clusters"])
+def test_online_clusters_against_a_plain_fold(spark, name):
+    """Both queries over the small tables' vectors, against a fold written out: the most similar centroid, or a new cluster."""
+    from palimpsest import catalogue
+
+    sf = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").collect()
+    wanted = {}
+    for label in {r.label for r in rows}:
+        sums, counts = [], []
+        for r in sorted((r for r in rows if r.label == label), key=lambda r: r.vec_id):
+            v = [float(x) for x in r.embedding]
+            best, place = -2.0, None
+            for k, (s, n) in enumerate(zip(sums, counts)):
+                c = [x / n for x in s]
+                size = math.sqrt(sum(x * x for x in c)) * math.sqrt(sum(x * x for x in v))
+                score = sum(x * y for x, y in zip(c, v)) / size if size else 0.0
+                if score > best + 1e-12:
+                    best, place = score, k
+            if place is None or best < 0.15:
+                sums.append([0.0] * len(v))
+                counts.append(0)
+                place = len(sums) - 1
+            sums[place] = [x + y for x, y in zip(sums[place], v)]
+            counts[place] += 1
+            wanted[r.vec_id] = place
+    found = catalogue.queries()[name](spark, sf).collect()
+    assert {r[1]: r[2] for r in found} == wanted and len(found) == len(rows)
+
+
+def test_resolvers(spark):
+    from palimpsest.functions.properties import typed_map, typed_value
+    from palimpsest.plans.filters import FilterError, compile_filter, feature_resolver, parse_filter, segment_resolver
+
+    f = spark.createDataFrame([("s1", "c", "t", '{"a": "x"}'), ("s2", "c", "u", "{}")], "set_id string, category string, tag string, metadata string")
+    where = lambda text: f.where(compile_filter(parse_filter(text), feature_resolver(f.columns)))
+    assert where("set = s1 AND category_name = c AND m.a = x").count() == 1 and where("tag_id = u").count() == 1
+    with pytest.raises(FilterError):
+        where("uid = 3")
+    s = spark.createDataFrame([(datetime.datetime(2024, 1, 1), 1), (datetime.datetime(2024, 1, 2), 2)], "ts timestamp, n int")
+    s = s.withColumn("properties", typed_map({"a": typed_value("int", F.col("n").cast("bigint")), "_a": typed_value("str", F.lit("system"))}))
+    where = lambda text: s.where(compile_filter(parse_filter(text), segment_resolver()))
+    assert where("m.a = 2").count() == 1 and where("a = system").count() == 2 and where("timestamp > date('2024-01-01T12:00:00Z')").count() == 1
+
+
+def test_benchmark_sources(spark, tmp_path):
+    import json
+
+    from palimpsest.sources import chats
+
+    item = {"id": "1", "question": "q", "context": {"title": ["A", "B"], "sentences": [["a0", "a1"], ["b0"]]}, "supporting_facts": {"title": ["A", "B"], "sent_id": [1, 5]}}
+    (tmp_path / "questions.json").write_text(json.dumps(item))
+    rows = chats.titled_passages(spark, str(tmp_path / "questions.json")).orderBy("passage", "sentence").collect()
+    assert [(r.title, r.content, r.supporting) for r in rows] == [("A", "a0", False), ("A", "a1", True), ("B", "b0", False)]
+    message = lambda c, **more: {"role": "user", "content": c, **more}
+    batches = [{"batch_number": 1, "turns": [[message("one", id=7), message("")], [message("two")]]}, {"batch_number": 2, "turns": [[{"content": "three", "role": "assistant", "time_anchor": "May"}]]}]
+    start = datetime.datetime(2024, 1, 1)
+    for name, data in (("flat", batches), ("plans", [{"plan-1": batches[:1], "other": 3}, {"plan-2": batches[1:]}])):
+        (tmp_path / f"{name}.json").write_text(json.dumps(data))
+        rows = chats.batched_chat(spark, str(tmp_path / f"{name}.json"), start).orderBy("sequence_num").collect()
+        assert [(r.content, r.batch_number, r.turn_index, r.producer_id, r.message_id, r.time_anchor) for r in rows] == [("one", "1", 0, "beam_user", "7", ""), ("two", "1", 1, "beam_user", "", ""), ("three", "2", 0, "beam_assistant", "", "May")]
+        assert [(r.created_at - start).seconds for r in rows] == [1, 2, 3]
