@@ -65,6 +65,22 @@ def drop_stored(df: DataFrame) -> None:
     drop_path(df.sparkSession, df.stored_at)
 
 
+class Tables:
+    """Tables of one run of an operator, deleted together once its result is written."""
+
+    def __init__(self):
+        self.made: list[DataFrame] = []
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        self.made.append(stored(df, name))
+        return self.made[-1]
+
+    def drop(self) -> None:
+        for table in self.made:
+            drop_stored(table)
+        self.made = []
+
+
 def whole_text(text: str = "text", null: str | None = "") -> F.Column:
     """The text column as a string; null texts count as `null`."""
     column = F.col(text).cast("string")
