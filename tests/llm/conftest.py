@@ -24,3 +24,15 @@ def documents(spark):
         return spark.createDataFrame(rows, DOCUMENTS)
 
     return make
+
+
+@pytest.fixture(scope="session")
+def shop(small):
+    """DuckDB with every table of the small folder as a view."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql("SET TimeZone = 'UTC'")
+    for path in Path(small).glob("*.parquet"):
+        con.sql(f"CREATE VIEW {path.stem} AS FROM '{path}'")
+    return con
