@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from palimpsest.operators import context as C
 from palimpsest.operators import search as S
 from palimpsest.operators import tables as T
-from palimpsest.plans.filters import compile_filter, parse_filter, resolver
-from palimpsest.sources.store import TableStore
+from palimpsest.plans.filters import Comparison, compile_filter, parse_filter, resolver
+from palimpsest.sources.store import KeptCounts, TableStore
 
 EPISODES = "uid string, session_key string, producer_id string, producer_role string, content string, created_at timestamp, metadata string, embedding array<float>"
 FIELDS = {"uid": "uid", "id": "uid", "session": "session_key", "session_key": "session_key", "producer_id": "producer_id", "producer_role": "producer_role", "created_at": "created_at"}
@@ -29,6 +29,7 @@ def hashed_embedding(text: Column, dimensions: int = 64) -> Column:
 class Memory:
     def __init__(self, store: TableStore, embed: Callable[[Column], Column] = hashed_embedding, table: str = "episodes"):
         self.store, self.embed, self.table = store, embed, table
+        self.counts = KeptCounts(store, table, "session_key")
 
     def _rows(self) -> DataFrame:
         return self.store.read(self.table, EPISODES)
@@ -58,8 +59,13 @@ class Memory:
         return T.page(self._rows().where(self._where(where)).drop("embedding"), [F.col("created_at"), F.col("uid")], page_size, page)
 
     def count(self, where: str | None = None) -> int:
+        """Episodes that pass; of one session alone from the counts that are kept (KeptCounts)."""
+        tree = parse_filter(where) if where else None
+        if isinstance(tree, Comparison) and tree.op == "=" and FIELDS.get(tree.field) == "session_key" and self.store.exists(self.table):
+            return self.counts.of(tree.value)
         return self._rows().where(self._where(where)).count()
 
     def delete(self, where: str) -> None:
-        condition = self._where(where)
-        self.store.change(self.table, lambda df: T.without_matches(df, condition), EPISODES)
+        """Deletes the episodes that pass: their ids are written, not the table."""
+        if self.store.exists(self.table):
+            self.store.delete(self.table, self._rows().where(self._where(where)).select("uid"), "uid")

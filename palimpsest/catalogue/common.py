@@ -67,6 +67,6 @@ def vectors(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "embeddings").select(F.col("vec_id").alias("uid"), "embedding", "label")
 
 
-def vector_queries(spark: SparkSession, sf: str, n: int = 5) -> DataFrame:
-    """The first n vectors as queries: a stated batch, not a sample of candidates."""
-    return vectors(spark, sf).where(F.col("uid") < n).select(F.col("uid").alias("query_id"), F.col("embedding").alias("query_vector"))
+def vector_queries(spark: SparkSession, sf: str) -> DataFrame:
+    """Every twentieth vector as a query: the stated query set; candidates are all vectors."""
+    return vectors(spark, sf).where("uid % 20 = 0").select(F.col("uid").alias("query_id"), F.col("embedding").alias("query_vector"))

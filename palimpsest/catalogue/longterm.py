@@ -161,15 +161,14 @@ def _feature_search(spark, sf):
 
 
 FEATURE_SEARCH_SQL = (
-    f"WITH x AS (SELECT q.vec_id AS query_id, c.vec_id AS id, c.label, {SCORES['cosine']} AS s FROM embeddings q, embeddings c WHERE q.vec_id < 5), "
+    f"WITH x AS (SELECT q.vec_id AS query_id, c.vec_id AS id, c.label, {SCORES['cosine']} AS s FROM embeddings q, embeddings c WHERE q.vec_id % 20 = 0), "
     "y AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) - 1 AS position FROM x WHERE label <> 3 AND s >= -0.5) SELECT query_id, id, 'tag' || label AS tag, CAST(position AS INTEGER) AS position, round(s, 6) AS score FROM y WHERE position >= 20 AND position < 30"
 )
 
 
 def _batch(spark, sf):
     """Every twentieth vector as a query against all."""
-    queries = vectors(spark, sf).where("uid % 20 = 0").select(F.col("uid").alias("query_id"), F.col("embedding").alias("query_vector"))
-    return S.knn(queries, vectors(spark, sf), 5).select("query_id", "rank", "uid", F.round("score", 6).alias("score"))
+    return S.knn(vector_queries(spark, sf), vectors(spark, sf), 5).select("query_id", "rank", "uid", F.round("score", 6).alias("score"))
 
 
 def _by_label(spark, sf) -> DataFrame:
@@ -198,7 +197,7 @@ def _conversions(spark, sf):
     return hits.select("query_id", "uid", F.round(V.score_of_distance(square, "l2", squared=True), 5).alias("l2"), F.round(back, 4).alias("squared"), F.round(V.score_of_distance(F.col("score"), "cosine"), 5).alias("cosine"))
 
 
-CONVERSIONS_SQL = f"SELECT q.vec_id AS query_id, c.vec_id AS uid, round({SCORES['l2']}, 5) AS l2, round({SCORES['l2']} * {SCORES['l2']}, 4) AS squared, round(1 - {SCORES['l2']}, 5) AS cosine FROM embeddings q, embeddings c WHERE q.vec_id < 5"
+CONVERSIONS_SQL = f"SELECT q.vec_id AS query_id, c.vec_id AS uid, round({SCORES['l2']}, 5) AS l2, round({SCORES['l2']} * {SCORES['l2']}, 4) AS squared, round(1 - {SCORES['l2']}, 5) AS cosine FROM embeddings q, embeddings c WHERE q.vec_id % 20 = 0"
 
 
 def _adjacent_scores(spark, sf):
@@ -244,7 +243,7 @@ QUERIES = {
     "agent_chain_of_queries": (_chain, CHAIN_SQL),
     "agent_metrics": (_metrics, "SELECT conv_id AS session_key, CAST(sum(length(text)) AS BIGINT) AS chars, string_agg(turn || ',0', ',' ORDER BY turn) AS seen FROM conversations GROUP BY 1"),
     "feat_vector_search": (_feature_search, FEATURE_SEARCH_SQL),
-    "vec_batch": (_batch, knn_sql("cosine", 5).replace("q.vec_id < 5", "q.vec_id % 20 = 0")),
+    "vec_batch": (_batch, knn_sql("cosine", 5)),
     "vec_conversions": (_conversions, CONVERSIONS_SQL),
     "rank_embedding": (_by_embedding, BY_EMBEDDING_SQL),
     "rank_stop_words": (_stop_words, None),

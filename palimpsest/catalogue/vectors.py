@@ -27,11 +27,11 @@ def _knn(metric: str, k: int = 5, threshold: float | None = None, text: str | No
     return run
 
 
-def _sql(metric: str, k: int = 5, condition: str = "true", per: str = "", n: int = 5) -> str:
+def _sql(metric: str, k: int = 5, condition: str = "true", per: str = "") -> str:
     order = f"{'s DESC' if metric in ('cosine', 'dot') else 's'}, uid"
     extra = f"{per}, " if per else ""
     return (
-        f"WITH x AS (SELECT q.vec_id AS query_id, c.vec_id AS uid, c.label, {SCORES[metric]} AS s FROM embeddings q, embeddings c WHERE q.vec_id < {n}), "
+        f"WITH x AS (SELECT q.vec_id AS query_id, c.vec_id AS uid, c.label, {SCORES[metric]} AS s FROM embeddings q, embeddings c WHERE q.vec_id % 20 = 0), "
         f"y AS (SELECT *, row_number() OVER (PARTITION BY {extra}query_id ORDER BY {order}) AS rank FROM x WHERE {condition}) "
         f"SELECT query_id, {extra}CAST(rank AS INTEGER) AS rank, uid, round(s, 6) AS score FROM y WHERE rank <= {k}"
     )

@@ -106,13 +106,35 @@ def online(events: DataFrame, key: str, event: str, threshold: float = 0.3, max_
     given = events.select(key, event, F.col(vector).alias("__v"), (F.unix_micros(time) / 1_000_000).alias("__t"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, state = None, Clusters(threshold, max_gap)
-        for pdf in batches:
-            out = []
-            for k, e, v, t in pdf.itertuples(index=False):
-                if k != current:
-                    current, state = k, Clusters(threshold, max_gap)
-                out.append(state.assign(e, v, t))
-            yield pd.DataFrame({key: pdf[key], event: pdf[event], "cluster": np.array(out, dtype=np.int32)})
+        for keys, names, found, _ in _folded(batches, threshold, max_gap):
+            if found:
+                yield pd.DataFrame({key: keys, event: names, "cluster": np.array(found, dtype=np.int32)})
+
+    return given.repartition(key).sortWithinPartitions(key, "__t", event).mapInPandas(run, kinds)
+
+
+def _folded(batches: Iterator[pd.DataFrame], threshold: float, max_gap: float | None) -> Iterator[tuple]:
+    """Per batch its keys, events and clusters, and the states (key, clusters) that ended in it; the last state comes alone."""
+    current, state = None, Clusters(threshold, max_gap)
+    for pdf in batches:
+        out, ended = [], []
+        for k, e, v, t in pdf.itertuples(index=False):
+            if k != current:
+                ended += [(current, state)] if state.counts else []
+                current, state = k, Clusters(threshold, max_gap)
+            out.append(state.assign(e, v, t))
+        yield pdf.iloc[:, 0], pdf.iloc[:, 1], out, ended
+    yield pd.Series(dtype=object), pd.Series(dtype=object), [], [(current, state)] if state.counts else []
+
+
+def online_state(events: DataFrame, key: str, event: str, threshold: float = 0.3, max_gap: float | None = None, vector: str = "embedding", time: str = "ts") -> DataFrame:
+    """key, centroids, counts, last (epoch seconds) after online(): what later events go on from."""
+    kinds = f"{key} {events.schema[key].dataType.simpleString()}, centroids array<array<double>>, counts array<long>, last array<double>"
+    given = events.select(key, event, F.col(vector).alias("__v"), (F.unix_micros(time) / 1_000_000).alias("__t"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for *_, ended in _folded(batches, threshold, max_gap):
+            if ended:
+                yield pd.DataFrame({key: [k for k, _ in ended], "centroids": [[c.tolist() for c in s.centroids] for _, s in ended], "counts": [s.counts for _, s in ended], "last": [s.last for _, s in ended]})
 
     return given.repartition(key).sortWithinPartitions(key, "__t", event).mapInPandas(run, kinds)

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from palimpsest.functions import vectors as V
 
 from . import search as S
 from .tables import page, without_ids
@@ -130,8 +129,8 @@ def feature_search(queries: DataFrame, vectors: DataFrame, features: DataFrame,
     search in meaning, so it takes rows out of the ranking; all vectors are candidates.
     """
     given = features if where is None else features.where(where)
-    hits = S.scored(queries, vectors.join(given.select("id"), "id", "left_semi"), metric=metric).where(V.passes(metric, F.col("score"), threshold))
-    best = S.ranked(hits, size * (number + 1), metric, "id").where(F.col("rank") > size * number)
+    candidates = vectors.select("id", "embedding").join(given.select("id"), "id", "left_semi")
+    best = S.knn(queries, candidates, size * (number + 1), metric, threshold, tie="id").where(F.col("rank") > size * number)
     return best.select("query_id", "id", "score", (F.col("rank") - 1).alias("position")).join(given, "id")
 
 

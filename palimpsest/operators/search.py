@@ -1,37 +1,40 @@
 """Exact vector search, pre-filtered, for a batch of queries.
 
-Queries come as rows (query_id, query_vector). They are joined in blocks: a
-small batch (known by its count) is broadcast, so the candidates are scanned
-once where they lie; a large one is dealt with hashed candidates over a grid
-of blocks. Each query keeps its k best per partition before they meet.
+Queries come as rows (query_id, query_vector). A batch of checked size goes to all
+tasks, so the candidates are scanned once where they lie; a larger one is dealt, with
+the candidates, over a grid of blocks of bounded size. Either way blocks are
+scored as matrices, and a task hands on no more than a query's k best.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from palimpsest.operators import blocks as B
 
 from palimpsest.functions import vectors as V
 
 #: Queries, and bytes of their vectors, that are broadcast at most; beyond either they are dealt over a grid.
 BROADCAST_QUERIES, BROADCAST_BYTES = 4096, 32 << 20
-#: Blocks of candidates in that grid.
-CANDIDATE_BLOCKS = 32
+#: Blocks of candidates in that grid, at least, and candidates of a block.
+CANDIDATE_BLOCKS, BLOCK_ROWS = 32, 65_536
 
 
 def scored(queries: DataFrame, candidates: DataFrame, vector: str = "embedding", metric: str | None = None) -> DataFrame:
-    """Each candidate for each query with its score. Beyond the bounds of a broadcast, blocks of queries meet blocks of candidates, each pair of blocks in a task of its own."""
-    size = queries.limit(BROADCAST_QUERIES + 1).agg(F.count("*").alias("n"), F.sum(F.size("query_vector").cast("long") * 8).alias("bytes")).first()
-    if size.n <= BROADCAST_QUERIES and (size.bytes or 0) <= BROADCAST_BYTES:
-        pairs = candidates.join(F.broadcast(queries))
-    else:
-        blocks = -(-queries.count() // BROADCAST_QUERIES)
-        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-        dealt = queries.withColumn("__q", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("__c", every(CANDIDATE_BLOCKS))
-        spread = candidates.withColumn("__c", F.pmod(F.xxhash64(vector), F.lit(CANDIDATE_BLOCKS)).cast("int")).withColumn("__q", every(blocks))
-        pairs = spread.join(dealt, ["__q", "__c"]).drop("__q", "__c")
-    return pairs.withColumn("score", V.similarity(F.col("query_vector"), F.col(vector), metric))
+    """Each candidate for each query with its score, for results that are all pairs: use knn for the best.
+
+    A query set of checked size is broadcast; a larger one is refused, as its result grows with both tables.
+    """
+    if not _small(queries):
+        raise ValueError("too many queries for a result of all pairs; knn gives the best of each")
+    return candidates.join(F.broadcast(queries)).withColumn("score", V.similarity(F.col("query_vector"), F.col(vector), metric))
 
 
 def ranked(hits: DataFrame, k: int, metric: str | None = None, tie: str = "uid", by: list[str] | None = None) -> DataFrame:
@@ -41,12 +44,59 @@ def ranked(hits: DataFrame, k: int, metric: str | None = None, tie: str = "uid",
 
 
 def knn(queries: DataFrame, candidates: DataFrame, k: int, metric: str | None = None, threshold: float | None = None, where: Column | None = None, vector: str = "embedding", tie: str = "uid", per: list[str] | None = None) -> DataFrame:
-    """The k best candidates of each query (and group `per`) that pass filter and threshold. k <= 0 gives none."""
+    """query_id, columns of the candidates but the vector, score, rank: the k best candidates of each query (and group `per`) that pass filter and threshold.
+
+    k <= 0 gives none. Ties go by `tie`. Candidates whose vector is null, not finite or of another length are no hits.
+    """
     given = candidates if where is None else candidates.where(where)
     if k <= 0:
         given = given.limit(0)
-    hits = scored(queries, given, vector, metric)
-    return ranked(hits.where(V.passes(metric, F.col("score"), threshold)), max(k, 1), metric, tie, ["query_id", *(per or [])])
+    return ranked(best_of_blocks(queries, given, max(k, 1), metric, threshold, vector, tie, per), max(k, 1), metric, tie, ["query_id", *(per or [])])
+
+
+def _small(queries: DataFrame) -> bool:
+    """Whether the queries may go to every task."""
+    size = queries.limit(BROADCAST_QUERIES + 1).agg(F.count("*").alias("n"), F.sum(F.size("query_vector").cast("long") * 8).alias("bytes")).first()
+    return size.n <= BROADCAST_QUERIES and (size.bytes or 0) <= BROADCAST_BYTES
+
+
+def best_of_blocks(queries: DataFrame, candidates: DataFrame, k: int, metric: str | None, threshold: float | None, vector: str, tie: str, per: list[str] | None = None) -> DataFrame:
+    """query_id, columns of the candidates but the vector, score: of each block of candidates what can be among a query's k best (of a group)."""
+    V.higher_is_better(metric)
+    queries = queries.select("query_id", "query_vector")
+    fields = [queries.schema["query_id"], *[f for f in candidates.schema if f.name != vector], T.StructField("score", T.DoubleType())]
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in fields])
+    arrow, order = to_arrow_schema(schema), [f.name for f in candidates.schema]
+
+    def against(blocks: dict) -> dict:
+        return {length: B.Best(vectors, k, metric, threshold) for length, (_, vectors) in blocks.items()}
+
+    def found_in(blocks: dict, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = against(blocks)
+        for batch in batches:
+            if per is None:
+                yield from B.hits_of(blocks, best, batch, vector, tie, arrow)
+            else:
+                # the best of a group are kept within a batch only, so groups may be many
+                for rows in batch.select(per).to_pandas().groupby(per, dropna=False).indices.values() if batch.num_rows else []:
+                    yield from B.hits_of(blocks, against(blocks), batch.take(pa.array(rows)), vector, tie, arrow)
+
+    if _small(queries):
+        # its size is checked: it goes to the tasks with the function
+        blocks = B.query_blocks(queries.toArrow())
+        return candidates.mapInArrow(lambda batches: found_in(blocks, batches), schema)
+    query_blocks = -(-queries.count() // BROADCAST_QUERIES)
+    candidate_blocks = max(CANDIDATE_BLOCKS, -(-candidates.count() // BLOCK_ROWS))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    block = lambda column, n: F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
+    dealt = queries.withColumn("__q", block("query_id", query_blocks)).withColumn("__c", every(candidate_blocks))
+    spread = candidates.withColumn("__c", block(tie, candidate_blocks)).withColumn("__q", every(query_blocks))
+
+    def met(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = right.select(order).combine_chunks().to_batches()
+        return pa.Table.from_batches(found_in(B.query_blocks(left), iter(rows)), schema=arrow)
+
+    return dealt.groupBy("__q", "__c").cogroup(spread.groupBy("__q", "__c")).applyInArrow(met, schema)
 
 
 def best_per_seed(hits: DataFrame, seed: str, metric: str | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import insert_missing, without_ids
+from .tables import first_of, insert_missing, without_ids
 
 
 def matching_types(entries: DataFrame, types: DataFrame, key: str = "uid") -> DataFrame:
@@ -14,15 +14,14 @@ def matching_types(entries: DataFrame, types: DataFrame, key: str = "uid") -> Da
     An equi-join on single tags and a count, so neither table has to be small.
     Types without tags match every entry.
     """
-    tagged = types.select("type_id", F.size(F.array_distinct("tags")).alias("wanted"), F.explode(F.array_distinct("tags")).alias("tag"))
-    held = entries.select(key, F.explode(F.array_distinct("keys")).alias("tag"))
+    # a tag that every entry holds and only types without tags want
+    none = F.array(F.struct(F.lit("").alias("tag"), F.lit(True).alias("every")))
+    named = lambda tags: F.transform(F.array_distinct(tags), lambda t: F.struct(t.alias("tag"), F.lit(False).alias("every")))
+    wanted = types.select("type_id", F.when(F.size("tags") > 0, named(F.col("tags"))).otherwise(none).alias("asked"))
+    tagged = wanted.select("type_id", F.size("asked").alias("wanted"), F.explode("asked").alias("tag"))
+    held = entries.select(key, F.explode(F.concat(named(F.coalesce("keys", F.array().cast("array<string>"))), none)).alias("tag"))
     met = held.join(tagged, "tag").groupBy(key, "type_id", "wanted").agg(F.count("*").alias("met")).where("met = wanted").select(key, "type_id")
-    open_types = [r.type_id for r in types.where(F.size("tags") == 0).select("type_id").distinct().limit(1000).collect()]
-    if not open_types:
-        return entries.join(met, key)
-    ids = F.array(*[F.lit(t) for t in open_types]).cast(f"array<{types.schema['type_id'].dataType.simpleString()}>")
-    every = entries.select(key, F.explode(ids).alias("type_id"))
-    return entries.join(met.unionByName(every), key)
+    return entries.join(met, key)
 
 
 def resolve_categories(own: DataFrame, inherited: DataFrame, links: DataFrame) -> DataFrame:
@@ -46,8 +45,9 @@ def sets_of_category(inherited: DataFrame, own: DataFrame, links: DataFrame, nam
 
 
 def set_config(configs: DataFrame, new: DataFrame) -> DataFrame:
-    """configs(set_id, ...) with the new rows in place of those of their sets."""
-    return configs.join(new.select("set_id"), "set_id", "left_anti").select(*configs.columns).unionByName(new)
+    """configs(set_id, ...) with the new rows in place of those of their sets; of several new rows of a set the one of the least hash."""
+    given = first_of(new.select(*configs.columns), ["set_id"], [F.xxhash64(*configs.columns)])
+    return configs.join(given.select("set_id"), "set_id", "left_anti").select(*configs.columns).unionByName(given)
 
 
 def register_type(links: DataFrame, new: DataFrame) -> DataFrame:

@@ -13,9 +13,10 @@ def by_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
 
 
 def in_order_of(df: DataFrame, ids: list, key: str) -> DataFrame:
-    """Rows of the given ids with the position of each, missing ids skipped; a position per occurrence of the id."""
-    given = df.sparkSession.range(1).select(F.posexplode(F.array(*[F.lit(x) for x in ids])).alias("pos", "__id"))
-    return df.join(F.broadcast(given), F.col(key) == F.col("__id")).drop("__id").orderBy("pos")
+    """Rows of the given ids with the position of each, missing ids skipped; a position per occurrence of the id. Ids travel as a table, not as literals of the plan."""
+    kind = df.schema[key].dataType.simpleString()
+    given = df.sparkSession.createDataFrame(list(enumerate(ids)), f"pos int, __id {kind}")
+    return df.join(given, F.col(key) == F.col("__id")).drop("__id").orderBy("pos")
 
 
 def without_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
@@ -45,8 +46,9 @@ def upsert(old: DataFrame, new: DataFrame, key: list[str], version: Column | str
 
 
 def insert_missing(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """Old rows, and new ones whose key is not there."""
-    return old.unionByName(new.join(old, key, "left_anti"))
+    """Old rows, and new ones whose key is not there: of several new rows of a key the one of the least hash."""
+    fresh = first_of(new, key, [F.xxhash64(*sorted(old.columns))])
+    return old.unionByName(fresh.join(old, key, "left_anti"))
 
 
 def patch(old: DataFrame, changes: DataFrame, key: str, columns: list[str]) -> DataFrame:
