@@ -114,7 +114,9 @@ class VectorIndex:
 
     def add(self, vectors: DataFrame) -> None:
         """Adds vectors, whose ids must not be in the index: remove them first."""
-        uid = vectors.schema["uid"].dataType.simpleString()
+        kinds = self.rows().schema if self.store.exists("vectors") else vectors.schema
+        vectors = vectors.select(*[F.col(f.name).cast(f.dataType) for f in kinds])
+        uid = kinds["uid"].dataType.simpleString()
         placed = stored(self._coded(vectors, uid), "placed")
         # a list's parts are for the rows that come together
         sizes = placed.groupBy("list").agg((F.floor((F.count("*") - 1) / PART) + 1).cast("int").alias("parts"))
