@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from palimpsest.functions import timestamps
 from palimpsest.operators import search
 from palimpsest.operators import tables as T
-from palimpsest.plans.filters import compile_filter, parse_filter, resolver
 from palimpsest.session import fresh_path, read
 from palimpsest.sources import sqlite
 from palimpsest.sources.store import KeptCounts, Sessions, TableStore
@@ -153,9 +152,7 @@ def _sqlite(spark, sf):
     """Episodes in SQLite files; a filter text goes into the source."""
     path = fresh_path(spark, "sqlite")
     sqlite.write_table(read(spark, sf, "events").select("event_id", "user_id", "event_type", "value").repartition(4, "event_id"), path, "events", "event_id")
-    table = sqlite.read_table(spark, path, "events", "event_id", page=1000)
-    fields = {c: c for c in table.columns}
-    return table.where(compile_filter(parse_filter("event_type IN (click, purchase) AND value > 20.5 AND user_id < 40"), resolver(fields)))
+    return sqlite.read_table(spark, path, "events", "event_id", "event_type IN (click, purchase) AND value > 20.5 AND user_id < 40", page=1000)
 
 
 ZONES = {"UTC": 0, "Asia/Tokyo": 9}

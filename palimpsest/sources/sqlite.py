@@ -1,15 +1,17 @@
 """SQLite files as a Spark data source: ranges of a key are partitions, filters go into the source, rows come page by page.
 
 A table lies in one file or in a folder of files that executors see at the same path.
-Register `SqliteSource` and read it with spark.read.format("sqlite").options(path, table,
-key, and optionally partitions and page). Filters that SQLite decides as Spark does
-are taken over (equality, order, IN, null tests); the rest stays with Spark. Filters
-are only handed to a Python source while spark.sql.python.filterPushdown.enabled is on.
+read_table() takes a text of the filter language. What SQLite decides as Spark does
+goes into the source as an option (equality, order of numbers, IN, null tests, and
+AND, OR, NOT of those); the whole filter is applied to what comes out of it. Spark's
+own hand-over of filters to Python sources is not used: it keeps the filters of one query
+with the table, and a second query of the same DataFrame reads with them.
 """
 
 from __future__ import annotations
 
 import contextlib
+import json
 import os
 import sqlite3
 from collections.abc import Iterator
@@ -21,13 +23,15 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from palimpsest.plans.filters import And, Comparison, Expr, In, IsNull, Not, Or, compile_filter, parse_filter, resolver
+
 #: Rows of a page, and key ranges of a file, unless options say otherwise.
 PAGE, PARTITIONS = 10_000, 8
 TYPES = {"INTEGER": T.LongType(), "REAL": T.DoubleType(), "TEXT": T.StringType(), "BLOB": T.BinaryType()}
-SIGNS = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
+VALUES = {T.LongType(): (int,), T.DoubleType(): (int, float), T.StringType(): (str,)}
 
 
 def local(path: str) -> Path:
@@ -47,20 +51,43 @@ def files(path: str) -> list[str]:
     return sorted(map(str, where.glob("*.db"))) if where.is_dir() else [str(where)]
 
 
-def condition(filter_: Filter, columns: dict[str, T.DataType]) -> tuple[str, list] | None:
-    """SQL and values of a filter, None where SQLite would decide otherwise: other columns, texts in order, and values of another type."""
-    name = filter_.attribute[0] if len(filter_.attribute) == 1 else None
-    if name not in columns:
+def pushed(tree: Expr, kinds: dict[str, T.DataType]) -> tuple[str, list] | None:
+    """SQL and values of what SQLite can decide of a filter: of an AND the sides that it can, of OR and NOT the whole or None."""
+    if isinstance(tree, And):
+        sides = [found for side in (tree.left, tree.right) if (found := pushed(side, kinds))]
+        return _joined(" AND ", sides) if sides else None
+    if isinstance(tree, Or):
+        sides = [_whole(side, kinds) and pushed(side, kinds) for side in (tree.left, tree.right)]
+        return _joined(" OR ", sides) if all(sides) else None
+    if isinstance(tree, Not):
+        found = _whole(tree.expr, kinds) and pushed(tree.expr, kinds)
+        return (f"NOT ({found[0]})", found[1]) if found else None
+    if not _whole(tree, kinds):
         return None
-    column, kind = quoted(name), columns[name]
-    if isinstance(filter_, (IsNull, IsNotNull)):
-        return f"{column} IS {'NOT ' * isinstance(filter_, IsNotNull)}NULL", []
-    fits = lambda v: type(v) in ((int,) if kind == T.LongType() else (int, float) if kind == T.DoubleType() else (str,))
-    if isinstance(filter_, In):
-        values = list(filter_.value)
-        return (f"{column} IN ({', '.join('?' * len(values))})", values) if values and all(map(fits, values)) else None
-    sign = SIGNS.get(type(filter_))
-    return (f"{column} {sign} ?", [filter_.value]) if sign and fits(filter_.value) else None
+    if isinstance(tree, IsNull):
+        return f"{quoted(tree.field)} IS NULL", []
+    if isinstance(tree, In):
+        return f"{quoted(tree.field)} IN ({', '.join('?' * len(tree.values))})", list(tree.values)
+    return f"{quoted(tree.field)} {tree.op} ?", [tree.value]
+
+
+def _joined(word: str, sides: list[tuple[str, list]]) -> tuple[str, list]:
+    return word.join(f"({sql})" for sql, _ in sides), [v for _, values in sides for v in values]
+
+
+def _whole(tree: Expr, kinds: dict[str, T.DataType]) -> bool:
+    """Whether SQLite can decide all of a filter: known columns, values of their types, order of numbers only."""
+    if isinstance(tree, (And, Or)):
+        return _whole(tree.left, kinds) and _whole(tree.right, kinds)
+    if isinstance(tree, Not):
+        return _whole(tree.expr, kinds)
+    kind = kinds.get(tree.field)
+    if isinstance(tree, IsNull):
+        return kind is not None
+    fits = lambda v: type(v) in VALUES.get(kind, ())
+    if isinstance(tree, In):
+        return bool(tree.values) and all(map(fits, tree.values))
+    return isinstance(tree, Comparison) and fits(tree.value) and (tree.op in ("=", "!=", "<>") or kind != T.StringType())
 
 
 @dataclass
@@ -76,19 +103,10 @@ class SqliteReader(DataSourceReader):
     def __init__(self, schema: T.StructType, options: dict):
         self.schema, self.path, self.table, self.key = schema, options["path"], options["table"], options["key"]
         self.ranges, self.page = int(options.get("partitions", PARTITIONS)), int(options.get("page", PAGE))
-        self.taken: list[tuple[str, list]] = []
-
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        kinds = {f.name: f.dataType for f in self.schema}
-        for given in filters:
-            found = condition(given, kinds)
-            if found is None:
-                yield given
-            else:
-                self.taken.append(found)
+        self.where = json.loads(options.get("where", "[]"))
 
     def _where(self) -> tuple[str, list]:
-        return "".join(f" AND {sql}" for sql, _ in self.taken), [v for _, values in self.taken for v in values]
+        return (f" AND ({self.where[0]})", self.where[1]) if self.where else ("", [])
 
     def partitions(self) -> list[KeyRange]:
         """Equal key ranges of each file's keys that pass the filters."""
@@ -146,11 +164,15 @@ class SqliteSource(DataSource):
         return SqliteReader(schema, dict(self.options))
 
 
-def read_table(spark: SparkSession, path: str, table: str, key: str, **options) -> DataFrame:
-    """A table of SQLite files; filters on the result go into the source."""
+def read_table(spark: SparkSession, path: str, table: str, key: str, where: str | None = None, **options) -> DataFrame:
+    """A table of SQLite files, or its rows that pass a text of the filter language."""
     spark.dataSource.register(SqliteSource)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    return spark.read.format("sqlite").options(path=path, table=table, key=key, **{k: str(v) for k, v in options.items()}).load()
+    reader = spark.read.format("sqlite").options(path=path, table=table, key=key, **{k: str(v) for k, v in options.items()})
+    if not where:
+        return reader.load()
+    tree, kinds = parse_filter(where), {f.name: f.dataType for f in SqliteSource({"path": path, "table": table}).schema()}
+    rows = reader.option("where", json.dumps(pushed(tree, kinds) or [])).load()
+    return rows.where(compile_filter(tree, resolver({c: c for c in kinds})))
 
 
 def write_table(df: DataFrame, path: str, table: str, key: str) -> None:

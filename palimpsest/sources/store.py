@@ -152,7 +152,8 @@ class TableStore:
         if not found:
             raise KeyError(name)
         number = self._next(name, found[-1])
-        marks = keys.select(F.col(keys.columns[0]).alias(column)).where(F.col(column).isNotNull()).distinct().withColumn("__number", F.lit(number))
+        kind = self.spark.read.parquet(f"{self.root}/{name}/v={found[-1]}").schema[column].dataType
+        marks = keys.select(F.col(keys.columns[0]).cast(kind).alias(column)).where(F.col(column).isNotNull()).distinct().withColumn("__number", F.lit(number))
         marks.write.mode("overwrite").parquet(f"{self.root}/{name}/gone={found[-1]}/k={column}/d={number}")
         return self.read(name)
 
