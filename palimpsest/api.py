@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,17 +46,27 @@ class Memory:
         new = rows.select(uid.alias("uid"), *rows.columns, self.embed(F.col("content")).alias("embedding")).dropDuplicates(["uid"])
         self.store.append(self.table, new.join(self._rows().select("uid"), "uid", "left_anti").select(*[f.name for f in self._rows().schema]), EPISODES)
 
-    def search(self, query: str, limit: int = 10, where: str | None = None, expand: int = 0, threshold: float | None = None) -> DataFrame:
-        """The best episodes for a text, ranked, each with its neighbours in its session if expand > 0."""
+    def search(self, query: str, limit: int = 10, where: str | None = None, expand: int = 0, threshold: float | None = None, columns: Sequence[str] | None = None) -> DataFrame:
+        """The best episodes for a text, ranked, each with its neighbours in its session if expand > 0; of an episode only the given columns if there are any."""
         rows = self._rows().where(self._where(where))
+        wanted = self._named(columns)
         queries = self.store.spark.range(1).select(F.lit(0).alias("query_id"), self.embed(F.lit(query)).alias("query_vector"))
         hits = S.knn(queries, rows, limit, "cosine", threshold).select(F.col("uid").alias("seed"), "score", "rank")
         backward, forward = C.split_expansion(expand)
-        found = C.neighbours(rows.drop("embedding"), hits, ["session_key"], ["created_at", "uid"], "uid", backward, forward)
-        return hits.join(found, "seed").orderBy("rank", "distance")
-
-    def list(self, where: str | None = None, page_size: int | None = None, page: int | None = None) -> DataFrame:
-        return T.page(self._rows().where(self._where(where)).drop("embedding"), [F.col("created_at"), F.col("uid")], page_size, page)
+        needed = [c for c in rows.columns if c in {*wanted, "uid", "session_key", "created_at"}]
+        found = C.neighbours(rows.select(*needed), hits, ["session_key"], ["created_at", "uid"], "uid", backward, forward)
+        return hits.join(found, "seed").orderBy("rank", "distance").select("seed", "score", "rank", "distance", *wanted)
+
+    def list(self, where: str | None = None, page_size: int | None = None, page: int | None = None, columns: Sequence[str] | None = None) -> DataFrame:
+        """Episodes in the order of time, or a page of them; only the given columns if there are any."""
+        return T.page(self._rows().where(self._where(where)).drop("embedding"), [F.col("created_at"), F.col("uid")], page_size, page).select(*self._named(columns))
+
+    def _named(self, columns: Sequence[str] | None) -> Sequence[str]:
+        """Columns of an episode, all but the vector if none are given; a name that is none raises."""
+        every = [f.name for f in self._rows().schema]
+        if unknown := [c for c in columns or [] if c not in every]:
+            raise KeyError(unknown[0])
+        return [*columns] if columns else [c for c in every if c != "embedding"]
 
     def count(self, where: str | None = None) -> int:
         """Episodes that pass; of one session alone from the counts that are kept (KeptCounts)."""

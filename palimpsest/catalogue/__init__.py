@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import config, features, filters, graph, ingestion, longterm, memory, scores, segments, stores, streams, texts, vectors
+from . import config, features, filters, graph, ingestion, longterm, memory, scores, segments, slots, stores, streams, texts, vectors
 
-MODULES = (filters, vectors, graph, features, memory, texts, scores, segments, longterm, config, ingestion, stores, streams)
+MODULES = (filters, vectors, graph, features, memory, texts, scores, segments, longterm, config, ingestion, stores, streams, slots)
 
 
 def queries() -> dict:

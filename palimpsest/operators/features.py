@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 
 from . import search as S
-from .tables import page, without_ids
+from .tables import insert_missing, page, patch, without_ids
 
 
 def feature_page(features: DataFrame, size: int | None, number: int | None = None, tag_threshold: int | None = None) -> DataFrame:
@@ -134,6 +134,22 @@ def feature_search(queries: DataFrame, vectors: DataFrame, features: DataFrame,
     return best.select("query_id", "id", "score", (F.col("rank") - 1).alias("position")).join(given, "id")
 
 
+def insert_features(features: DataFrame, new: DataFrame) -> DataFrame:
+    """Features with new ones; an id that is there stays as it is, columns a new one does not have are null."""
+    lacking = [F.lit(None).cast(f.dataType).alias(f.name) for f in features.schema if f.name not in new.columns]
+    return insert_missing(features, new.select("*", *lacking).select(*features.columns), ["id"])
+
+
+def update_features(features: DataFrame, changes: DataFrame) -> DataFrame:
+    """Features with the non-null columns of the changes for their ids."""
+    return patch(features, changes, "id", [c for c in changes.columns if c != "id"])
+
+
+def delete_features(features: DataFrame, citations: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(features, citations) without the given ids (first column) and what they cite."""
+    return without_ids(features, ids, "id"), without_ids(citations, ids, "feature_id")
+
+
 def consolidated(features: DataFrame, citations: DataFrame, replies: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """(features, citations) after consolidation of groups of features.
 

@@ -61,6 +61,21 @@ def derived(df: DataFrame, derive: Callable[[str], list[str]], key: str, text: s
     return df.select(F.col(key), F.posexplode(run(text)).alias("n", "text"))
 
 
+def segmented(events: DataFrame, segment: Callable[[str], list[str]], event: str, index: str = "index", text: str = "text") -> DataFrame:
+    """event, index, offset, text, uid: what a segmenter makes of each block of an event, in order; a block without text gives none.
+
+    uid is that of event, block and place, so that a replay gives the same segments.
+    """
+
+    @F.pandas_udf("array<string>")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in parts:
+            yield s.map(lambda t: [] if t is None else list(segment(t)))
+
+    rows = events.select(F.col(event), F.col(index).alias("index"), F.posexplode(run(text)).alias("offset", "text"))
+    return rows.withColumn("uid", F.sha2(F.concat_ws("|", F.col(event).cast("string"), "index", "offset"), 256))
+
+
 def coded(payload: Column, code: Callable[[bytes], bytes]) -> Column:
     """A binary column through a payload codec, one way or the other; null stays null."""
 

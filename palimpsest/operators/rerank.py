@@ -93,6 +93,17 @@ def adjacent_scores(events: DataFrame, cluster: list[str], order: list[str], sco
     return events.withColumn("__next", following).withColumn("score", run(text, "__next")).drop("__next")
 
 
+def by_reply(candidates: DataFrame, replies: DataFrame) -> DataFrame:
+    """query_id, pos, score of a remote reranker's replies (query_id, results array of struct(index, score)), which name candidates by their place in the request and in any order.
+
+    Candidates (query_id, pos) are asked for in the order of pos. One that no result
+    names gets 0, one that several name the score of the last; places beyond the request do not matter.
+    """
+    asked = candidates.select("query_id", "pos", (F.row_number().over(W.partitionBy("query_id").orderBy("pos")) - 1).alias("index"))
+    results = replies.select("query_id", F.posexplode("results").alias("at", "r")).groupBy("query_id", F.col("r.index").alias("index")).agg(F.max_by("r.score", "at").alias("score"))
+    return asked.join(results, ["query_id", "index"], "left").select("query_id", "pos", F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
 def blank_as_zero(candidates: DataFrame, scores: DataFrame) -> DataFrame:
     """query_id, pos, score: the scores, and 0 for blank candidates, which a remote reranker is not asked for."""
     given = candidates.select("query_id", "pos", (F.trim(F.coalesce("text", F.lit(""))) == "").alias("__blank"))
