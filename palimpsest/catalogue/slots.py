@@ -19,11 +19,9 @@ from palimpsest.sources.store import TableStore
 from .common import EPISODE_FIELDS, episodes, features, history, messages
 from .filters import K
 
-RESOLVE = X.resolver(EPISODE_FIELDS, "metadata", ignore_case=True)
-
 
 def _where(spark, sf, tree) -> DataFrame:
-    return episodes(spark, sf).where(X.compile_filter(tree, RESOLVE)).select("uid")
+    return episodes(spark, sf).where(X.compile_filter(tree, X.resolver(EPISODE_FIELDS, "metadata", ignore_case=True))).select("uid")
 
 
 def _rewritten(spark, sf):
