@@ -13,10 +13,11 @@ import hashlib
 import re
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, map_arrow, whole_text
+from .common import fresh_path, map_arrow, slices, whole_text
 
 #: Base kinds in the order in which they are listed.
 BASE_KINDS = ("assign", "access", "hex")
@@ -138,22 +139,17 @@ def redact(docs: DataFrame, ledger: str | None = None, rule_version: str = RULE_
     joined = rows.join(hits, "blob", "left").drop("blob")
 
     def run(batches):
-        for batch in batches:
-            arrays = batch.columns[: len(columns)]
-            spans = batch.columns[len(columns) :]
-            if spans[0].null_count < len(spans[0]):
-                at = columns.index("text")
-                texts = arrays[at].to_pylist()
-                changed = [k for k, x in enumerate(spans[0].is_valid().to_pylist()) if x]
-                for k in changed:
-                    texts[k] = redacted(texts[k], *[x[k].as_py() for x in spans], mark)
-                arrays[at] = pa.array(texts, type=arrays[at].type)
+        for batch in (part for whole in batches for part in slices(whole)):
+            arrays, spans = batch.columns[: len(columns)], batch.columns[len(columns) :]
+            changed = spans[0].is_valid()
+            if changed.true_count:
+                # only texts with findings become Python strings
+                at, found = columns.index("text"), [x.filter(changed).to_pylist() for x in spans]
+                texts = [redacted(text, *of, mark) for text, *of in zip(arrays[at].filter(changed).to_pylist(), *found)]
+                arrays[at] = pc.replace_with_mask(arrays[at], changed, pa.array(texts, type=arrays[at].type))
                 if "n_chars" in columns:
                     at = columns.index("n_chars")
-                    lengths = arrays[at].to_pylist()
-                    for k in changed:
-                        lengths[k] = len(texts[k])
-                    arrays[at] = pa.array(lengths, type=arrays[at].type)
+                    arrays[at] = pc.replace_with_mask(arrays[at], changed, pa.array(map(len, texts), type=arrays[at].type))
             yield pa.RecordBatch.from_arrays(arrays, names=columns)
 
     return joined.mapInArrow(run, schema)

@@ -61,6 +61,13 @@ def test_redact(spark, documents):
     assert secret_scan.redact(documents([])).count() == 0
 
 
+def test_redact_over_several_slices(spark, documents):
+    texts = [f"é token: abcdef{k:06d} end" if k % 3 == 0 else f"line {k}" for k in range(5_000)]
+    rows = secret_scan.redact(documents(texts).coalesce(1)).orderBy("doc_id").collect()
+    assert [r.text for r in rows] == ["é [assign] end" if k % 3 == 0 else t for k, t in enumerate(texts)]
+    assert all(r.n_chars == len(r.text) for r in rows)
+
+
 def test_carrier_round_trip(spark, documents):
     texts = [None, "", "a" * 64, "b" * 65, "é" * 5000, "\xff\xfb\x90" * 900, "ID3" * 2000, "same", "same"]
     rows = mpeg_audio.read_texts(mpeg_audio.store_texts(documents(texts))).orderBy("doc_id").collect()
