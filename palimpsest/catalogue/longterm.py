@@ -93,10 +93,14 @@ def _agent(spark, sf):
     return L.with_agent_hits(hits, short, 0.5, ["session_key"]).select("session_key", "uid", "rank", "score")
 
 
+#: Rows that a tool of the agent queries returns for a query.
+TOOL_ROWS = 20
+
+
 def _by_first_word(spark, sf, n: int):
-    """A tool: the turns that begin with the query's n-th word, of all conversations; created_at is the turn's number."""
+    """A tool: the newest TOOL_ROWS turns that begin with the query's n-th word, of all conversations; created_at is the turn's number."""
     df = messages(spark, sf).select("uid", "content", F.col("uid").alias("created_at"), F.split("content", " ")[0].alias("word"))
-    return lambda queries: queries.withColumn("word", F.split("query_text", " ")[n]).join(df, "word").select("query_id", "uid", "content", "created_at")
+    return A.newest_of_key(df, "word", F.get(F.split("query_text", " "), F.lit(n)), TOOL_ROWS)
 
 
 def _queries(spark, sf) -> DataFrame:
@@ -124,8 +128,9 @@ def _chain(spark, sf):
 
 
 WORDS = (
-    "m AS (SELECT conv_id * 1000 + turn AS uid, conv_id, turn, string_split(text, ' ')[1] AS word, text FROM conversations), "
-    "q AS (SELECT conv_id AS query_id, string_agg(word, ' ' ORDER BY turn) AS query, list(word ORDER BY turn) AS words FROM m WHERE turn < 2 GROUP BY 1)"
+    "every AS (SELECT conv_id * 1000 + turn AS uid, conv_id, turn, string_split(text, ' ')[1] AS word, text FROM conversations), "
+    f"m AS (SELECT * FROM every QUALIFY row_number() OVER (PARTITION BY word ORDER BY uid DESC) <= {TOOL_ROWS}), "
+    "q AS (SELECT conv_id AS query_id, string_agg(word, ' ' ORDER BY turn) AS query, list(word ORDER BY turn) AS words FROM every WHERE turn < 2 GROUP BY 1)"
 )
 SPLIT_SQL = f"WITH {WORDS}, p AS (SELECT query_id, unnest(words) AS word FROM q) SELECT query_id, count(*) AS n, CAST(sum(uid) AS BIGINT) AS uids FROM p JOIN m USING (word) GROUP BY 1"
 SELECT_SQL = f"WITH {WORDS}, p AS (SELECT query_id, CASE WHEN length(query) % 2 = 1 THEN words[2] ELSE words[1] END AS word FROM q) SELECT query_id, count(*) AS n, CAST(sum(uid) AS BIGINT) AS uids FROM p JOIN m USING (word) GROUP BY 1"

@@ -10,9 +10,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window as W
 
 from palimpsest.session import stored
 
@@ -30,6 +31,22 @@ def _by_text(kind: T.DataType, plan: Callable):
     return run
 
 
+def newest_of_key(rows: DataFrame, key: str, asked: Column, k: int, created_at: str = "created_at", uid: str = "uid") -> Tool:
+    """A tool that finds the k newest rows whose key equals what a query asks for (`asked`, over query_text); ties go to the greater uid.
+
+    Rows are ranked within their key before queries come in, so that a key brings
+    at most k rows to a query however many rows have it, and tasks pass on at most
+    k rows of a key. Null keys, and queries that ask for null, find nothing.
+    """
+    order = W.partitionBy(key).orderBy(F.col(created_at).desc_nulls_last(), F.col(uid).desc())
+    newest = rows.where(F.col(key).isNotNull()).withColumn("__place", F.row_number().over(order)).where(F.col("__place") <= k).drop("__place")
+
+    def run(queries: DataFrame) -> DataFrame:
+        return queries.withColumn(key, asked).join(newest, key).select("query_id", *[c for c in rows.columns if c != key])
+
+    return run
+
+
 def split_query(tool: Tool, plan: Callable[[str], list[str]]) -> Tool:
     """The rows that a tool finds for the parts of each query, repeats included; a query without parts stands for itself."""
 

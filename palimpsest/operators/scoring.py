@@ -52,10 +52,10 @@ def kendall(ranks: DataFrame, by: list[str]) -> DataFrame:
     placed = filled.withColumn("p", F.row_number().over(per.orderBy("a", "b"))).withColumn("d", F.dense_rank().over(per.orderBy("b")))
     totals = placed.groupBy(*by).agg(F.count("*").alias("n"), F.sum(F.col("in_a").cast("long")).alias("na"), F.sum(F.col("in_b").cast("long")).alias("nb"), F.sum((F.col("in_a") & F.col("in_b")).cast("long")).alias("both"))
     ties = lambda *c: placed.groupBy(*by, *c).agg((F.count("*") * (F.count("*") - 1) / 2).alias("t")).groupBy(*by).agg(F.sum("t").alias("t_" + "".join(c)))
-    digit = placed.select(*by, "p", "d", F.explode(F.sequence(F.lit(0), F.lit(30))).alias("k")).withColumn("half", F.expr("shiftright(d, k + 1)")).withColumn("bit", F.expr("shiftright(d, k)").bitwiseAND(F.lit(1)))
-    # digits beyond the longest list's are 0 in every row and count nothing
-    top = placed.agg(F.max("d")).first()[0] or 0
-    digit = digit.where(F.col("k") < max(1, int(top).bit_length()))
+    # digits beyond those of the longest list's length are 0 in every row and count nothing, so they are not made
+    longest = filled.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    digits = F.sequence(F.lit(0), F.lit(max(1, longest.bit_length()) - 1))
+    digit = placed.select(*by, "p", "d", F.explode(digits).alias("k")).withColumn("half", F.expr("shiftright(d, k + 1)")).withColumn("bit", F.expr("shiftright(d, k)").bitwiseAND(F.lit(1)))
     before = F.sum("bit").over(W.partitionBy(*by, "k", "half").orderBy("p").rowsBetween(W.unboundedPreceding, -1))
     inversions = digit.withColumn("above", F.coalesce(before, F.lit(0))).groupBy(*by).agg(F.sum(F.when(F.col("bit") == 0, F.col("above")).otherwise(0)).alias("wrong"))
     whole = totals.join(ties("a"), by).join(ties("b"), by).join(ties("a", "b"), by).join(inversions, by)

@@ -184,3 +184,12 @@ def test_benchmark_sources(spark, tmp_path):
         rows = chats.batched_chat(spark, str(tmp_path / f"{name}.json"), start).orderBy("sequence_num").collect()
         assert [(r.content, r.batch_number, r.turn_index, r.producer_id, r.message_id, r.time_anchor) for r in rows] == [("one", "1", 0, "beam_user", "7", ""), ("two", "1", 1, "beam_user", "", ""), ("three", "2", 0, "beam_assistant", "", "May")]
         assert [(r.created_at - start).seconds for r in rows] == [1, 2, 3]
+
+
+def test_newest_of_key_is_bounded_for_a_hot_key(spark):
+    rows = [(k, f"t{k}", k // 2, "hot") for k in range(500)] + [(900, "c", 1, "cold"), (901, "n", 1, None)]
+    tool = agents.newest_of_key(spark.createDataFrame(rows, "uid long, content string, created_at long, word string"), "word", F.col("query_text"), 3)
+    queries = spark.createDataFrame([(1, "hot"), (2, "cold"), (3, "none"), (4, None), (5, "hot")], "query_id long, query_text string")
+    found = sorted((r.query_id, r.uid) for r in tool(queries).collect())
+    assert found == [(1, 497), (1, 498), (1, 499), (2, 900), (5, 497), (5, 498), (5, 499)]
+    assert tool(queries).columns == ["query_id", "uid", "content", "created_at"]
