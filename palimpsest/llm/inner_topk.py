@@ -24,13 +24,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import map_arrow, stored
+from .common import Tables, map_arrow, stored
 
 QUERY_BLOCK, CANDIDATE_BLOCK, TILE, LEADING = 1024, 16384, 2048, 16
 #: Bytes of a block's vectors, at which blocks of many dimensions have fewer rows.
 BLOCK_BYTES = 32 << 20
 #: Squared length that integer vectors stay under, so that every score fits a long.
 LONGEST = 1 << 63
+#: The blocks of longest vectors (one for each dimension) are broadcast up to so many bytes, else dealt out by slots of query blocks.
+BROADCAST_BYTES = 64 << 20
+#: Query blocks that share a slot, and so a copy of the candidate blocks' headers.
+SLOT = 256
 MATCH = "query_id long, vec_id long, score long"
 
 
@@ -90,13 +94,14 @@ def _packed(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(x, t) for x, t in zip(row, (pa.int32(), pa.binary(), pa.binary(), pa.float64()))], names=["d", "ids", "data", "norm"])
 
 
-def blocked(vectors: DataFrame, rows: int, by_norm: bool, name: str) -> DataFrame:
+def blocked(vectors: DataFrame, rows: int, by_norm: bool, name: str, tables: Tables | None = None) -> DataFrame:
     """Rows (vec_id, v) in blocks (BLOCKS, block) of about `rows` rows of one dimension each: by descending norm, or by hash.
 
     The edges between blocks of norms are quantiles of the whole table, one number
     for each block; where more rows share a norm than a block holds they are dealt
-    over several by a hash of the id.
+    over several by a hash of the id. tables: gets what is stored.
     """
+    tables = tables or Tables()
     sized = vectors.withColumn("d", F.size("v")).withColumn("n", F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x))
     most = lambda d: max(1, min(rows, BLOCK_BYTES // (8 * max(1, d))))
     counts = {r.d: r.n for r in sized.groupBy("d").agg(F.count("*").alias("n")).collect()}
@@ -114,13 +119,24 @@ def blocked(vectors: DataFrame, rows: int, by_norm: bool, name: str) -> DataFram
                 band[at] = np.searchsorted(np.array(edges.get(k, [])), n[at])
             return {"vec_id": batch.column(0), "v": batch.column(1), "d": d, "band": band}
 
-    placed = stored(map_arrow(sized.select("vec_id", "v", "d", "n"), Place, "vec_id long, v array<long>, d int, band long"), f"{name}-bands")
+    placed = tables.stored(map_arrow(sized.select("vec_id", "v", "d", "n"), Place, "vec_id long, v array<long>, d int, band long"), f"{name}-bands")
     # a row for each block: as many as the rows divided by a block's
     limits = F.create_map(*[F.lit(x) for d in counts for x in (d, most(d))]) if counts else F.lit(None)
     parts = placed.groupBy("d", "band").agg(F.ceil(F.count("*") / F.max(limits[F.col("d")])).cast("int").alias("parts")) if counts else placed.select("d", "band", F.lit(1).alias("parts"))
     dealt = placed.join(F.broadcast(parts), ["d", "band"]).withColumn("part", F.pmod(F.xxhash64("vec_id"), "parts").cast("int"))
     whole = dealt.select("d", "band", "part", "vec_id", "v").groupBy("d", "band", "part").applyInArrow(lambda table: _packed(table), BLOCKS)
-    return stored(whole.withColumn("block", F.monotonically_increasing_id()), name)
+    return tables.stored(whole.withColumn("block", F.monotonically_increasing_id()), name)
+
+
+def by_slots(queries: DataFrame, candidates: DataFrame, slots: int) -> DataFrame:
+    """queries joined with candidates of their dimension (d), keyed by d and one of `slots` slots of query blocks.
+
+    Most tables have vectors of one dimension, so d alone would be one key. Every
+    slot has a copy of the candidates' rows; query rows are not copied.
+    """
+    dealt = queries.withColumn("slot", F.pmod(F.xxhash64("q_block"), F.lit(slots)))
+    copies = candidates.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))))
+    return dealt.join(copies, ["d", "slot"]).drop("slot")
 
 
 def block_topk(q_ids, queries, c_ids, candidates, rotation, k: int, floor_scores: np.ndarray | None = None):
@@ -212,20 +228,25 @@ def top_k(vectors: DataFrame, query_condition: str, k: int = 20, scale: int = 64
     rows. Vectors are only compared with vectors of their dimension. Ties go to
     the smaller id. An empty table gives no row; other columns are ignored.
     """
-    spark = vectors.sparkSession
-    whole = stored(quantised(vectors, scale, id_column, vector_column), "vectors")
+    given, tables = Tables(), Tables()
+    whole = given.stored(quantised(vectors, scale, id_column, vector_column), "vectors")
     grams = map_arrow(whole.select("v"), GramTask, "d int, gram array<double>")
     sums = grams.select("d", F.posexplode("gram").alias("at", "x")).groupBy("d", "at").agg(F.sum("x").alias("x")).groupBy("d").agg(F.sort_array(F.collect_list(F.struct("at", "x"))).alias("gram"))
     rotations = {r.d: np.linalg.eigh(np.array([x.x for x in r.gram]).reshape(r.d, r.d))[1][:, ::-1] if r.d else np.zeros((0, 0)) for r in sums.collect()}
-    c_blocks = blocked(whole, candidate_block, True, "candidates")
-    q_blocks = blocked(whole.where(query_condition), query_block, False, "queries")
+    c_blocks = blocked(whole, candidate_block, True, "candidates", tables)
+    q_blocks = blocked(whole.where(query_condition), query_block, False, "queries", tables)
+    given.drop()
     # the block of each dimension with the longest vectors gives every query a first k-th score
     first = c_blocks.groupBy("d").agg(F.max_by("block", F.struct("norm", -F.col("block"))).alias("block"))
     longest = c_blocks.join(F.broadcast(first), ["d", "block"], "left_semi")
     names = lambda df, p: df.select("d", *[F.col(c).alias(f"{p}_{c}") for c in ("ids", "data", "norm", "block")])
     none = F.lit(None).cast("array<double>")
-    start = names(q_blocks, "q").join(names(longest, "c"), "d").repartition("q_block")
-    seed = stored(map_arrow(start.select("d", "q_ids", "q_data", none, "c_ids", "c_data"), lambda: SearchTask(k, rotations), MATCH), "first")
+    slots = max(1, -(-q_blocks.count() // SLOT))
+    spread, lead = names(q_blocks, "q").repartition("q_block"), names(longest, "c")
+    # the queries stay where they are and meet one block each
+    size = longest.agg(F.coalesce(F.sum(F.octet_length("data") + F.octet_length("ids")), F.lit(0))).first()[0]
+    start = spread.join(F.broadcast(lead), "d") if size <= BROADCAST_BYTES else by_slots(spread, lead, slots).repartition("q_block")
+    seed = tables.stored(map_arrow(start.select("d", "q_ids", "q_data", none, "c_ids", "c_data"), lambda: SearchTask(k, rotations), MATCH), "first")
     bars = seed.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).cast("double").alias("bar"))
 
     class Unpack:
@@ -244,7 +265,9 @@ def top_k(vectors: DataFrame, query_condition: str, k: int = 20, scale: int = 64
     )
     others = c_blocks.join(F.broadcast(first), ["d", "block"], "left_anti")
     headers = names(q_blocks, "q").select("d", "q_block").join(needs, "q_block").select("d", "q_block", "least")
-    pairs = headers.join(names(others, "c").select("d", "c_block", "c_norm"), "d").where(F.col("c_norm") >= F.col("least")).select("q_block", "c_block")
+    pairs = by_slots(headers, names(others, "c").select("d", "c_block", "c_norm"), slots).where(F.col("c_norm") >= F.col("least")).select("q_block", "c_block")
     work = pairs.join(names(q_blocks, "q").join(needs, "q_block").select("d", "q_ids", "q_data", "bars", "q_block"), "q_block").join(names(others, "c").drop("d"), "c_block").repartition("q_block", "c_block")
     rest = map_arrow(work.select("d", "q_ids", "q_data", "bars", "c_ids", "c_data"), lambda: SearchTask(k, rotations), MATCH)
-    return ranked(seed.unionByName(rest), k)
+    found = stored(ranked(seed.unionByName(rest), k), "top")
+    tables.drop()
+    return found

@@ -58,3 +58,21 @@ def test_blocks_follow_rows(spark, same):
         ids = np.concatenate([np.frombuffer(r.ids, dtype=np.int64) for r in found])
         assert sorted(ids.tolist()) == list(range(500))
         assert len({r.block for r in found}) == len(found)
+
+
+def test_slots(spark, monkeypatch):
+    """Blocks of longest vectors that are not broadcast are dealt out by slots; the result is the same."""
+    monkeypatch.setattr(inner_topk, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(inner_topk, "SLOT", 2)
+    rng = np.random.default_rng(8)
+    rows = [(k, rng.normal(size=4 if k % 3 else 6).astype("float32").tolist()) for k in range(400)]
+    found = inner_topk.top_k(spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA), "vec_id % 20 = 0", query_block=4, candidate_block=32)
+    assert sorted(map(tuple, found.collect())) == brute([(i, [float(np.float32(x)) for x in v]) for i, v in rows], 20, lambda i: i % 20 == 0)
+
+
+def test_by_slots(spark):
+    queries = spark.createDataFrame([(1, k) for k in range(20)] + [(2, 50)], "d int, q_block long")
+    candidates = spark.createDataFrame([(1, 7), (1, 8), (2, 9), (3, 10)], "d int, c_block long")
+    for slots in (1, 5):
+        found = inner_topk.by_slots(queries, candidates, slots).collect()
+        assert sorted((r.q_block, r.c_block) for r in found) == sorted([(k, c) for k in range(20) for c in (7, 8)] + [(50, 9)])
