@@ -61,14 +61,15 @@ def old_sets(history: DataFrame, older_than: Column) -> DataFrame:
 
 def dirty_sets(history: DataFrame, least: int | None, older_than: Column | None) -> DataFrame:
     """Sets that are due: enough rows pending, or one pending for too long; without any condition all sets."""
-    parts = ([pending_sets(history, least)] if least else []) + ([old_sets(history, older_than)] if older_than is not None else [])
+    parts = ([pending_sets(history, least)] if least and least > 0 else []) + ([old_sets(history, older_than)] if older_than is not None else [])
     if not parts:
         return pending_sets(history)
     return parts[0] if len(parts) == 1 else parts[0].union(parts[1]).distinct()
 
 
-def purgeable(history: DataFrame) -> DataFrame:
-    """Ingested rows of sets that have nothing pending; the rest of the history is its left_anti."""
+def purgeable(history: DataFrame, sets: DataFrame | None = None) -> DataFrame:
+    """Ingested rows of sets (those given, by the first column) that have nothing pending; the rest of the history is its left_anti."""
+    history = history if sets is None else history.join(sets.toDF("set_id").distinct(), "set_id", "left_semi")
     open_sets = history.where("NOT ingested").select("set_id").distinct()
     return history.where("ingested").join(open_sets, "set_id", "left_anti")
 
@@ -94,8 +95,10 @@ def apply_commands(features: DataFrame, commands: DataFrame, key: list[str]) ->
     return log.join(last, key, "left").where(F.col("__last").isNull() | (F.col("seq") > F.col("__last"))).drop("__last")
 
 
-def add_citations(citations: DataFrame, new: DataFrame) -> DataFrame:
-    """The citations (feature_id, history_id) with new ones, each once."""
+def add_citations(citations: DataFrame, new: DataFrame, features: DataFrame | None = None) -> DataFrame:
+    """The citations (feature_id, history_id) with new ones, each once; with features, new ones of ids that are not there are left out."""
+    if features is not None:
+        new = new.join(features.select(F.col("id").alias("feature_id")), "feature_id", "left_semi")
     return citations.unionByName(new).distinct()
 
 
