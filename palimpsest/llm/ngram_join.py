@@ -215,6 +215,16 @@ class SetTask:
         return {"doc_id": batch.column(0), "n_shingles": [len(s) for s in sets], "node": [set_name(s) if len(s) else None for s in sets]}
 
 
+class ElementsTask:
+    """The sorted set of each text beside the places that need it: TILE_ELEMENTS bounds its bytes, not those of a text that repeats itself."""
+
+    def __init__(self, rule: Rule):
+        self.rule = rule
+
+    def __call__(self, batch: pa.RecordBatch) -> dict:
+        return {"places": batch.column(0), "elements": [s.tobytes() for s in ngram_sets(batch.column(1).to_pylist(), self.rule.words)]}
+
+
 class SignatureTask:
     def __init__(self, rule: Rule):
         self.rule, self.sent = rule, set()
@@ -312,8 +322,8 @@ class Incidence:
 def _links(rule: Rule):
     def run(group: pa.Table) -> pa.Table:
         # one row per set of a pair of tiles; side 0 is the first tile, equal tiles have side 0 only
-        rows = group.select(["side", "node", "text"]).sort_by([("side", "ascending"), ("node", "ascending")]).to_pydict()
-        sets = ngram_sets(rows["text"], rule.words)
+        rows = group.select(["side", "node", "elements"]).sort_by([("side", "ascending"), ("node", "ascending")]).to_pydict()
+        sets = [np.frombuffer(x, dtype=np.uint64) for x in rows["elements"]]
         first = rows["side"].count(0)
         pairs = linked_pairs(sets, rule, first)
         return pa.table({"a": pa.array([rows["node"][a] for a, _ in pairs], pa.int64()), "b": pa.array([rows["node"][b] for _, b in pairs], pa.int64())})
@@ -359,7 +369,11 @@ def links(docs: DataFrame, sets: DataFrame, rule: Rule, id_column: str = "doc_id
     sides = sides.union(pairs.where(~same).select(key, F.lit(1), "group", "y_band", "y_tile"))
     work = placed.join(sides, ["group", "band", "tile"]).select("pair", "side", "node", "doc_id")
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), whole_text(text_column).alias("text"))
-    return work.join(texts, "doc_id").select("pair", "side", "node", "text").groupBy("pair").applyInArrow(_links(rule), "a long, b long")
+    # each text is read and made a set once, however many pairs of tiles need it: the sets are what is exchanged
+    needed = work.groupBy("doc_id").agg(F.collect_list(F.struct("pair", "side", "node")).alias("places"))
+    made = map_arrow(needed.join(texts, "doc_id").select("places", "text"), lambda: ElementsTask(rule), "places array<struct<pair: bigint, side: int, node: bigint>>, elements binary")
+    rows = made.select(F.explode("places").alias("p"), "elements").select("p.pair", "p.side", "p.node", "elements")
+    return rows.groupBy("pair").applyInArrow(_links(rule), "a long, b long")
 
 
 def classes(docs: DataFrame, words: int = 3, at_least: int = 90, of: int = 100, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -110,3 +110,14 @@ def test_components(spark):
                 changed = True
     found = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert found == {k: v for k, v in label.items() if k is not None and sum(label[x] == v for x in label if x is not None) > 1}
+
+
+def test_sets_are_exchanged(spark):
+    """What a tile gets is a text's sorted set, once for each place: a text that repeats itself is as small as its set."""
+    import pyarrow as pa
+
+    texts = ["a b " * 50_000, "one two three four", ""]
+    places = [[{"pair": 1, "side": 0, "node": 7}, {"pair": 2, "side": 1, "node": 7}], [{"pair": 1, "side": 1, "node": 8}], []]
+    found = ngram_join.ElementsTask(ngram_join.Rule(3, 90, 100))(pa.record_batch({"places": places, "text": texts}))
+    assert [len(x) for x in found["elements"]] == [16, 16, 0]
+    assert found["places"].to_pylist() == places
