@@ -40,7 +40,7 @@ def _sql(metric: str, k: int = 5, condition: str = "true", per: str = "") -> str
 def _best(spark, sf):
     """Labels stand for the segments that vectors were derived from."""
     hits = S.knn(vector_queries(spark, sf), vectors(spark, sf), 40)
-    return S.best_per_seed(hits, "label").select("query_id", "label", "seed_rank", F.round("score", 6).alias("score"))
+    return S.best_per_seed(hits, "label", digits=6).select("query_id", "label", "seed_rank", "score")
 
 
 def _ordered(spark, sf):

@@ -135,8 +135,9 @@ def best_of_blocks(queries: DataFrame, candidates: DataFrame, k: int, metric: st
     return dealt.groupBy("__q", "__c").cogroup(spread.groupBy("__q", "__c")).applyInArrow(met, schema)
 
 
-def best_per_seed(hits: DataFrame, seed: str, metric: str | None = None) -> DataFrame:
-    """query_id, seed, its best score, and seed_rank by score."""
-    best = F.max("score") if V.higher_is_better(metric) else F.min("score")
+def best_per_seed(hits: DataFrame, seed: str, metric: str | None = None, digits: int | None = None) -> DataFrame:
+    """query_id, seed, its best score, and seed_rank by score, then seed. digits: scores that are equal when rounded so are ties, and are given so."""
+    score = F.col("score") if digits is None else F.round("score", digits)
+    best = F.max(score) if V.higher_is_better(metric) else F.min(score)
     found = hits.groupBy("query_id", seed).agg(best.alias("score"))
     return found.withColumn("seed_rank", F.row_number().over(W.partitionBy("query_id").orderBy(V.best_first(metric), seed)))
