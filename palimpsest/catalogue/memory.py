@@ -54,8 +54,8 @@ def _segments(spark, sf) -> DataFrame:
 
 def _event_search(spark, sf):
     derivatives = vectors(spark, sf).withColumn("segment_uid", F.col("uid") - F.col("uid") % 2)
-    found = M.event_search(vector_queries(spark, sf), derivatives, _segments(spark, sf), ["session"], limit=10, expand=4)
-    return found.select("query_id", "seed", "context_rank", "uid", "distance", F.round("score", 6).alias("score"))
+    found = M.event_search(vector_queries(spark, sf), derivatives, _segments(spark, sf), ["session"], limit=10, expand=4, digits=6)
+    return found.select("query_id", "seed", "context_rank", "uid", "distance", "score")
 
 
 SEEDS_SQL = "s AS (SELECT query_id, uid - uid % 2 AS seed, max(score) AS score FROM h GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seed) AS context_rank FROM s)"
@@ -68,7 +68,7 @@ EVENT_SQL = (
 def _declarative_search(spark, sf):
     sources = vectors(spark, sf).select("uid", (F.col("uid") - F.col("uid") % 2).alias("episode_uid"))
     rows = vectors(spark, sf).select("uid", F.floor(F.col("uid") / 100).alias("session"), F.col("label").alias("ts"))
-    return M.declarative_search(vector_queries(spark, sf), vectors(spark, sf), sources, rows, ["session"], most=8, expand=3).select("query_id", "uid", "seed", "distance")
+    return M.declarative_search(vector_queries(spark, sf), vectors(spark, sf), sources, rows, ["session"], most=8, expand=3, digits=6).select("query_id", "uid", "seed", "distance")
 
 
 DECLARATIVE_SQL = (

@@ -28,16 +28,17 @@ def rescored(contexts: DataFrame, queries: DataFrame, score: Callable[[str, str]
     return scores.select("query_id", "seed", "score", F.row_number().over(best).alias("context_rank"))
 
 
-def event_episodes(queries: DataFrame, derivatives: DataFrame, segments: DataFrame, limit: int, threshold: float | None = None, metric: str | None = None, where: Column | None = None) -> DataFrame:
+def event_episodes(queries: DataFrame, derivatives: DataFrame, segments: DataFrame, limit: int, threshold: float | None = None, metric: str | None = None, where: Column | None = None, digits: int | None = None) -> DataFrame:
     """query_id, episode_uid, score, rank: the best episodes by their best segment that reaches the threshold, `limit` at most.
 
     derivatives(uid, segment_uid, embedding), segments(uid, episode_uid, ...); the filter holds for segments.
+    digits: the threshold is for scores rounded so.
     """
     hits = S.knn(queries, derivatives, limit * OVER_FETCH, metric, tie="uid")
     seeds = S.best_per_seed(hits, "segment_uid", metric)
     given = segments if where is None else segments.where(where)
     found = seeds.join(given.select(F.col("uid").alias("segment_uid"), "episode_uid"), "segment_uid")
-    found = found.where(F.col("episode_uid").isNotNull() & V.passes(metric, F.col("score"), threshold))
+    found = found.where(F.col("episode_uid").isNotNull() & V.passes(metric, F.col("score") if digits is None else F.round("score", digits), threshold))
     first = found.groupBy("query_id", "episode_uid").agg(F.min("seed_rank").alias("seed_rank"), F.min_by("score", "seed_rank").alias("score"))
     order = W.partitionBy("query_id").orderBy("seed_rank")
     return first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).drop("seed_rank")
@@ -53,15 +54,15 @@ def drift(hits: DataFrame, episodes: DataFrame, key: str = "episode_uid", uid: s
     return hits.join(episodes.select(F.col(uid).alias(key)), key, "left_anti")
 
 
-def declarative_episodes(queries: DataFrame, derivatives: DataFrame, sources: DataFrame, episodes: DataFrame, partition: list[str], most: int = 20, expand: int = 0, metric: str | None = None, threshold: float | None = None, score: Callable[[str, str], float] | None = None, text: str = "text") -> DataFrame:
+def declarative_episodes(queries: DataFrame, derivatives: DataFrame, sources: DataFrame, episodes: DataFrame, partition: list[str], most: int = 20, expand: int = 0, metric: str | None = None, threshold: float | None = None, score: Callable[[str, str], float] | None = None, text: str = "text", digits: int | None = None) -> DataFrame:
     """query_id, uid, score, position: declarative search, its contexts reranked if a function is given, above the threshold, in the order of time.
 
-    A row's score is that of its context. queries need query_text where a function is given.
+    A row's score is that of its context. queries need query_text where a function is given. digits: see search.best_per_seed.
     """
     if score is None:
-        ranked = M.declarative_search(queries, derivatives, sources, episodes, partition, most, expand, metric)
+        ranked = M.declarative_search(queries, derivatives, sources, episodes, partition, most, expand, metric, digits=digits)
     else:
-        contexts = M.declarative_contexts(queries, derivatives, sources, episodes, partition, most, expand, metric)
+        contexts = M.declarative_contexts(queries, derivatives, sources, episodes, partition, most, expand, metric, digits=digits)
         again = rescored(contexts, queries, score, ["ts", "uid"], text)
         ranked = C.budget_union(contexts.drop("score", "context_rank").join(again, ["query_id", "seed"]), most, ["query_id"], "uid")
     found = ranked if threshold is None else ranked.where(F.col("score") >= threshold)

@@ -45,30 +45,30 @@ def merge_terms(short: DataFrame, long: DataFrame, key: str = "uid", rank: str =
     return once.join(short.select(*keys), keys, "left_anti")
 
 
-def event_search(queries: DataFrame, derivatives: DataFrame, segments: DataFrame, partition: list[str], limit: int = 20, expand: int = 0, metric: str | None = None, where: Column | None = None) -> DataFrame:
+def event_search(queries: DataFrame, derivatives: DataFrame, segments: DataFrame, partition: list[str], limit: int = 20, expand: int = 0, metric: str | None = None, where: Column | None = None, digits: int | None = None) -> DataFrame:
     """Vector search over derivatives, best score per segment, neighbours of each segment in its order; ranked by seed.
 
     derivatives(uid, segment_uid, embedding), segments(uid, *partition, ts, event_uid, index, offset). The filter holds
-    for seeds and neighbours; longterm.rescored ranks the contexts again by a reranker.
+    for seeds and neighbours; longterm.rescored ranks the contexts again by a reranker. digits: see search.best_per_seed.
     """
     hits = S.knn(queries, derivatives, limit, metric, tie="uid")
-    seeds = S.best_per_seed(hits, "segment_uid", metric)
+    seeds = S.best_per_seed(hits, "segment_uid", metric, digits)
     backward, forward = C.split_expansion(expand)
     found = C.neighbours(segments, seeds.select(F.col("segment_uid").alias("seed")), partition, ["ts", "event_uid", "index", "offset"], "uid", backward, forward, where)
     return seeds.withColumnRenamed("segment_uid", "seed").withColumnRenamed("seed_rank", "context_rank").join(found, "seed")
 
 
-def declarative_contexts(queries: DataFrame, derivatives: DataFrame, sources: DataFrame, episodes: DataFrame, partition: list[str], most: int = 20, expand: int = 0, metric: str | None = None, where: Column | None = None) -> DataFrame:
-    """Vector search (5 derivatives per wanted episode, 200 at most), source episodes by first hit, and the context of each."""
+def declarative_contexts(queries: DataFrame, derivatives: DataFrame, sources: DataFrame, episodes: DataFrame, partition: list[str], most: int = 20, expand: int = 0, metric: str | None = None, where: Column | None = None, digits: int | None = None) -> DataFrame:
+    """Vector search (5 derivatives per wanted episode, 200 at most), source episodes by first hit, and the context of each. digits: see search.best_per_seed."""
     hits = S.knn(queries, derivatives, min(5 * most, 200), metric, tie="uid")
-    seeds = S.best_per_seed(hits.join(sources, "uid"), "episode_uid", metric).withColumnRenamed("episode_uid", "seed").withColumnRenamed("seed_rank", "context_rank")
+    seeds = S.best_per_seed(hits.join(sources, "uid"), "episode_uid", metric, digits).withColumnRenamed("episode_uid", "seed").withColumnRenamed("seed_rank", "context_rank")
     backward, forward = C.split_expansion(expand, most)
     return seeds.join(C.neighbours(episodes, seeds, partition, ["ts", "uid"], "uid", backward, forward, where), "seed")
 
 
-def declarative_search(queries: DataFrame, derivatives: DataFrame, sources: DataFrame, episodes: DataFrame, partition: list[str], most: int = 20, expand: int = 0, metric: str | None = None, where: Column | None = None) -> DataFrame:
+def declarative_search(queries: DataFrame, derivatives: DataFrame, sources: DataFrame, episodes: DataFrame, partition: list[str], most: int = 20, expand: int = 0, metric: str | None = None, where: Column | None = None, digits: int | None = None) -> DataFrame:
     """declarative_contexts as one budgeted union."""
-    return C.budget_union(declarative_contexts(queries, derivatives, sources, episodes, partition, most, expand, metric, where), most, ["query_id"], "uid")
+    return C.budget_union(declarative_contexts(queries, derivatives, sources, episodes, partition, most, expand, metric, where, digits), most, ["query_id"], "uid")
 
 
 def summarise(messages: DataFrame, session: str, order: list[str], summaries: DataFrame, summary, capacity: int, content: str = "content") -> tuple[DataFrame, DataFrame]:
