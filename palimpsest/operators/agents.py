@@ -47,6 +47,21 @@ def newest_of_key(rows: DataFrame, key: str, asked: Column, k: int, created_at:
     return run
 
 
+def totals_of_key(rows: DataFrame, key: str, asked: Column, *totals: Column) -> Tool:
+    """A tool that tells a query the totals of all rows whose key equals what it asks for (`asked`, over query_text).
+
+    Rows are added up within their key before queries come in, so that a key brings
+    one row to a query however many rows have it. Null keys, and queries that ask for
+    null, find nothing.
+    """
+    found = rows.where(F.col(key).isNotNull()).groupBy(key).agg(*totals)
+
+    def run(queries: DataFrame) -> DataFrame:
+        return queries.withColumn(key, asked).join(found, key).select("query_id", *[c for c in found.columns if c != key])
+
+    return run
+
+
 def split_query(tool: Tool, plan: Callable[[str], list[str]]) -> Tool:
     """The rows that a tool finds for the parts of each query, repeats included; a query without parts stands for itself."""
 
