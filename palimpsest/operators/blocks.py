@@ -50,6 +50,20 @@ def exact(q: np.ndarray, c: np.ndarray, metric: str) -> np.ndarray:
     return np.divide(dots, lengths, out=np.zeros_like(dots), where=lengths > 0)
 
 
+def exact_of(queries: np.ndarray, rows: np.ndarray, q: np.ndarray, at: np.ndarray, metric: str) -> np.ndarray:
+    """Scores of the pairs (q, at), worked out in slices of bounded memory."""
+    step = max(1, CELLS // 4 // max(1, queries.shape[1]))
+    parts = [exact(queries[q[n : n + step]], rows[at[n : n + step]], metric) for n in range(0, len(q), step)]
+    return np.concatenate(parts) if parts else np.zeros(0)
+
+
+def best_of(found: pd.DataFrame, k: int, better: bool) -> pd.DataFrame:
+    """Of rows (q, score, tie) the k best of each q, with their place n."""
+    found = found.sort_values(["q", "score", "tie"], ascending=[True, not better, True], kind="stable")
+    found["n"] = found.groupby("q").cumcount()
+    return found[found.n < k]
+
+
 def near(q: np.ndarray, c: np.ndarray, metric: str) -> tuple[np.ndarray, float]:
     """Closeness of all q to all c, more is better, and by how much it may be off."""
     if metric == "l1":
@@ -74,12 +88,19 @@ class Best:
 
     def __init__(self, queries: np.ndarray, k: int, metric: str | None, threshold: float | None = None):
         self.queries, self.k, self.metric, self.threshold = queries, k, metric or "cosine", threshold
+        self.better = self.metric in ("cosine", "dot")
         self.kept = np.full((len(queries), k), -np.inf)
 
     def add(self, rows: np.ndarray, ties: np.ndarray) -> pd.DataFrame:
         """q, at, score of rows of a block (with what ties are broken by), at most k for a query."""
-        parts = [self._part(rows[at : at + step], ties[at : at + step], at) for step in [max(1, CELLS // max(1, len(self.queries)))] for at in range(0, len(rows), step)]
-        return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"q": [], "at": [], "score": []})
+        step, kept = max(1, CELLS // max(1, len(self.queries))), []
+        for at in range(0, len(rows), step):
+            kept.append(self._part(rows[at : at + step], ties[at : at + step], at))
+            # what later parts have displaced goes, so that no more than twice the result is held
+            if len(kept) > 1 and sum(map(len, kept)) > len(self.queries) * self.k:
+                kept = [best_of(pd.concat(kept, ignore_index=True), self.k, self.better)]
+        found = best_of(pd.concat(kept, ignore_index=True), self.k, self.better) if kept else pd.DataFrame({"q": [], "at": [], "score": []})
+        return found[["q", "at", "score"]]
 
     def _part(self, rows: np.ndarray, ties: np.ndarray, start: int) -> pd.DataFrame:
         close, slack = near(self.queries, rows, self.metric)
@@ -87,18 +108,15 @@ class Best:
         if len(rows) > self.k:
             least = np.maximum(least, np.partition(close, -self.k, axis=1)[:, -self.k])
         q, at = np.nonzero(close >= (least - slack)[:, None])
-        scores = exact(self.queries[q], rows[at], self.metric)
-        better = self.metric in ("cosine", "dot")
+        scores = exact_of(self.queries, rows, q, at, self.metric)
         if self.threshold is not None:
-            fit = scores >= self.threshold if better else scores <= self.threshold
+            fit = scores >= self.threshold if self.better else scores <= self.threshold
             q, at, scores = q[fit], at[fit], scores[fit]
-        found = pd.DataFrame({"q": q, "at": at, "score": scores, "tie": ties[at]}).sort_values(["q", "score", "tie"], ascending=[True, not better, True], kind="stable")
-        found["n"] = found.groupby("q").cumcount()
-        found = found[found.n < self.k]
+        found = best_of(pd.DataFrame({"q": q, "at": at, "score": scores, "tie": ties[at]}), self.k, self.better)
         fresh = np.full_like(self.kept, -np.inf)
         fresh[found.q.to_numpy(), found.n.to_numpy()] = closeness(found.score.to_numpy(), self.metric)
         self.kept = -np.sort(-np.hstack([self.kept, fresh]), axis=1)[:, : self.k]
-        return pd.DataFrame({"q": found.q, "at": found["at"] + start, "score": found.score})
+        return pd.DataFrame({"q": found.q, "at": found["at"] + start, "score": found.score, "tie": found.tie})
 
 
 def tie_array(column: pa.Array) -> np.ndarray:

@@ -18,6 +18,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,6 +82,19 @@ def fit_probes(x: np.ndarray, centroids: np.ndarray, metric: str, target: float)
     return int(np.quantile(depth, target, method="higher")) + 1 if len(depth) else len(centroids)
 
 
+def _meetings(of: np.ndarray, wanted: list) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, queries) that meet: rows by their list (`of`), queries by the lists wanted, or all with all where none are named."""
+    if not wanted:
+        return
+    if wanted[0] is None:
+        yield np.arange(len(of)), np.arange(len(wanted))
+        return
+    sizes = [len(lists) for lists in wanted]
+    asking, named = np.repeat(np.arange(len(wanted)), sizes), np.concatenate([np.asarray(lists, int) for lists in wanted])
+    for one in np.intersect1d(of, named):
+        yield np.flatnonzero(of == one), asking[named == one]
+
+
 class VectorIndex:
     def __init__(self, spark: SparkSession, path: str):
         """Opens the index of a folder."""
@@ -172,33 +186,51 @@ class VectorIndex:
         return VectorIndex(self.spark, path)
 
     def _probed(self, queries: DataFrame, probes: int) -> DataFrame:
-        """query_id, query_vector, list: the lists that each query looks into."""
+        """query_id, query_vector, lists: the lists that each query looks into."""
         centroids, cosine, length = self.centroids, self.metric == "cosine", self.dimensions
-        schema = T.StructType([queries.schema["query_id"], queries.schema["query_vector"], T.StructField("list", T.IntegerType())])
+        schema = T.StructType([queries.schema["query_id"], queries.schema["query_vector"], T.StructField("lists", T.ArrayType(T.IntegerType()))])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 places, x = B.matrix(batch.column(1), length)
                 lists = nearest(_unit(x) if cosine else x, centroids, probes)
-                taken = batch.take(pa.array(np.repeat(places, lists.shape[1])))
-                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(lists.ravel().astype(np.int32))], names=["query_id", "query_vector", "list"])
+                taken = batch.take(pa.array(places))
+                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(list(lists.astype(np.int32)), pa.list_(pa.int32()))], names=["query_id", "query_vector", "lists"])
 
         return queries.select("query_id", "query_vector").mapInArrow(run, schema)
 
     def shortlist(self, queries: DataFrame, k: int, probes: int | None = None, allowed: DataFrame | None = None) -> DataFrame:
-        """query_id, uid of the k best by their codes in the lists looked into, of the allowed ids (first column) if given."""
-        probed = stored(self._probed(queries, min(probes or self.probes, len(self.centroids))), "probed")
-        most = probed.groupBy("list").count().agg(F.max("count")).first()[0] or 0
-        blocks = max(1, -(-most // QUERIES))
-        shape = self.store.read("shape").groupBy("list").agg(F.max("parts").alias("parts"))
-        asked = probed.join(shape, "list").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+        """query_id, uid of the k best by their codes in the lists looked into, of the allowed ids (first column) if given.
+
+        Parts of lists are dealt into bundles. A query goes once to each bundle that it
+        looks into, with the lists that it wants there, and gets k rows of it at most.
+        """
+        probes = min(probes or self.probes, len(self.centroids))
         cells = self.store.read("cells")
-        if probed.select("list").distinct().limit(1001).count() <= 1000:
-            # few lists: only their row groups are read
-            cells = cells.where(F.col("list").isin([r.list for r in probed.select("list").distinct().collect()]))
+        if probes < len(self.centroids):
+            probed = stored(self._probed(queries, probes), "probed")
+            lists = probed.select(F.explode("lists").alias("list")).distinct()
+            if lists.limit(1001).count() <= 1000:
+                # few lists: only their row groups are read
+                cells = cells.where(F.col("list").isin([r.list for r in lists.collect()]))
         if allowed is not None:
             cells = cells.join(allowed.toDF("uid").distinct(), "uid", "left_semi")
-        cells = cells.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        bundles = max(S.CANDIDATE_BLOCKS, -(-cells.count() // PART))
+        blocks = max(1, -(-queries.count() // QUERIES))
+        block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block")
+        bundle = lambda *key: F.pmod(F.xxhash64(*key), F.lit(bundles)).cast("int").alias("bundle")
+        given = queries.select("query_id", "query_vector")
+        if probes < len(self.centroids):
+            shape = self.store.read("shape").groupBy("list").agg(F.max("parts").alias("parts"))
+            looked = probed.select("query_id", F.explode("lists").alias("list")).join(shape, "list").select("query_id", "list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+            wanted = looked.groupBy("query_id", bundle("list", "part")).agg(F.collect_set("list").alias("lists"))
+            asked = given.join(wanted, "query_id").select("query_id", "query_vector", "lists", "bundle", block)
+            spread = cells.withColumn("bundle", bundle("list", "part"))
+        else:
+            # all lists: every query goes to every bundle, so rows are dealt evenly
+            asked = given.select("query_id", "query_vector", F.lit(None).cast("array<int>").alias("lists"), F.explode(F.sequence(F.lit(0), F.lit(bundles - 1))).alias("bundle"), block)
+            spread = cells.withColumn("bundle", bundle("uid"))
+        spread = spread.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
         centroids, metric, length = self.centroids, self.metric, self.dimensions
         uid = cells.schema["uid"].dataType.simpleString()
         kind = queries.schema["query_id"].dataType.simpleString()
@@ -208,15 +240,21 @@ class VectorIndex:
             if left.num_rows and right.num_rows:
                 left, right = left.combine_chunks(), right.combine_chunks()
                 places, q = B.matrix(left.column("query_vector"), length)
-                codes = np.frombuffer(b"".join(right.column("code").to_pylist()), np.int8).reshape(-1, length)
-                # lists may share a task
-                x = centroids[right.column("list").to_numpy()] + codes * right.column("scale").to_numpy()[:, None].astype(np.float64)
-                found = B.Best(q, k, metric).add(x, B.tie_array(right.column("uid").combine_chunks()))
-                out = {"query_id": left.column("query_id").take(pa.array(places[found.q.to_numpy(dtype=np.int64)])), "uid": right.column("uid").take(pa.array(found["at"].to_numpy(dtype=np.int64))), "close": pa.array(B.closeness(found.score.to_numpy(dtype=np.float64), metric))}
+                codes, scale = np.frombuffer(b"".join(right.column("code").to_pylist()), np.int8).reshape(-1, length), right.column("scale").to_numpy()
+                of, ties = right.column("list").to_numpy(), B.tie_array(right.column("uid").combine_chunks())
+                wanted = left.column("lists").take(pa.array(places)).to_pylist()
+                parts = []
+                for rows, asking in _meetings(of, wanted):
+                    x = centroids[of[rows]] + codes[rows] * scale[rows, None].astype(np.float64)
+                    found = B.Best(q[asking], k, metric).add(x, ties[rows])
+                    at = rows[found["at"].to_numpy(dtype=np.int64)]
+                    parts.append(pd.DataFrame({"q": asking[found.q.to_numpy(dtype=np.int64)], "at": at, "score": B.closeness(found.score.to_numpy(dtype=np.float64), metric), "tie": ties[at]}))
+                if parts:
+                    found = B.best_of(pd.concat(parts, ignore_index=True), k, True)
+                    out = {"query_id": left.column("query_id").take(pa.array(places[found.q.to_numpy(dtype=np.int64)])), "uid": right.column("uid").take(pa.array(found["at"].to_numpy(dtype=np.int64))), "close": pa.array(found.score.to_numpy(dtype=np.float64))}
             return pa.table(out)
 
-        key = ["list", "part", "block"]
-        found = asked.groupBy(*key).cogroup(cells.groupBy(*key)).applyInArrow(met, f"query_id {kind}, uid {uid}, close double")
+        found = asked.groupBy("bundle", "block").cogroup(spread.groupBy("bundle", "block")).applyInArrow(met, f"query_id {kind}, uid {uid}, close double")
         return S.ranked(found.withColumnRenamed("close", "score"), k, "cosine").select("query_id", "uid")
 
     def search(self, queries: DataFrame, k: int, probes: int | None = None, threshold: float | None = None, allowed: DataFrame | None = None, refine: int = REFINE) -> DataFrame:
