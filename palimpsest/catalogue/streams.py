@@ -80,11 +80,18 @@ SELECT conv_id AS session_key, max(turn) AS sequence_num, count(*) FILTER (chars
 """
 
 
+#: Parts of the time of the events that _windows streams one after the other.
+WINDOW_PARTS = 6
+
+
 def _windows(spark, sf):
     """Events of a user with pauses of at most six hours, streamed; the watermark closes all but the last sessions, so a row a year later follows."""
-    df = read(spark, sf, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), F.lit(0).alias("part"))
-    later = df.groupBy().agg(F.max("ts").alias("ts")).select(F.lit(-1).cast("long").alias("user_id"), (F.col("ts") + F.expr("INTERVAL 365 DAYS")).alias("ts"), F.lit(1).alias("part"))
-    found = I.session_windows(_in_turn(df.union(later), "part", 2), "ts", "6 hours", ["user_id"])
+    df = read(spark, sf, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    # in the order of time, so that a batch sorts a part of the rows only and none comes late
+    first, last = df.agg(F.unix_micros(F.min("ts")), F.unix_micros(F.max("ts"))).first()
+    df = df.withColumn("part", F.floor((F.unix_micros("ts") - F.lit(first)) * WINDOW_PARTS / (F.lit(last) - F.lit(first) + 1)).cast("int"))
+    later = df.groupBy().agg(F.max("ts").alias("ts")).select(F.lit(-1).cast("long").alias("user_id"), (F.col("ts") + F.expr("INTERVAL 365 DAYS")).alias("ts"), F.lit(WINDOW_PARTS).alias("part"))
+    found = I.session_windows(_in_turn(df.union(later), "part", WINDOW_PARTS + 1), "ts", "6 hours", ["user_id"])
     out = fresh_path(spark, "windows")
     I.drain(I.into_batches(found.select("user_id", F.col("session_window.start").alias("start"), "n"), out).outputMode("append"), fresh_path(spark, "state"))
     return I.read_batches(spark, out, "user_id long, start timestamp, n long").where("user_id >= 0").withColumn("start", F.unix_micros("start"))

@@ -62,7 +62,7 @@ class DueSets(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.pending = handle.getMapState("pending", "history_id string", "at long")
+        self.pending = handle.getListState("pending", "history_id string, at long")
         self.turn = handle.getValueState("turn", "reason string, pause long, next long")
 
     def close(self) -> None:
@@ -78,9 +78,13 @@ class DueSets(StatefulProcessor):
         if at is not None:
             self.handle.registerTimer(at)
 
-    def _look(self, key: tuple, now: int) -> list[tuple]:
+    def _pending(self) -> dict[str, int]:
+        """Pending rows and their times. They are read and written whole: a call a row costs more than all else."""
+        return dict(self.pending.get()) if self.pending.exists() else {}
+
+    def _look(self, key: tuple, now: int, pending: dict[str, int]) -> list[tuple]:
         """What is due now, and the timer of what will be."""
-        times = [at for (at,) in (self.pending.getValue(k) for k in list(self.pending.keys()))]
+        times = list(pending.values())
         if not times:
             self.turn.clear()
             self._timers(None)
@@ -104,16 +108,20 @@ class DueSets(StatefulProcessor):
             yield pd.DataFrame(found, columns=["set_id", "reason", "pending", "at_ms"])
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        before = self._pending()
+        pending = dict(before)
         for frame in rows:
             for history_id, at, ingested in zip(frame.history_id, frame.at_ms, frame.ingested):
                 if not ingested:
-                    self.pending.updateValue((history_id,), (NEVER if pd.isna(at) else int(at),))
-                elif self.pending.containsKey((history_id,)):
-                    self.pending.removeKey((history_id,))
-        yield from self._rows(self._look(key, self._now(timerValues)))
+                    pending[history_id] = NEVER if pd.isna(at) else int(at)
+                else:
+                    pending.pop(history_id, None)
+        if pending != before:
+            self.pending.put(list(pending.items())) if pending else self.pending.clear()
+        yield from self._rows(self._look(key, self._now(timerValues), pending))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._rows(self._look(key, max(self._now(timerValues), expiredTimerInfo.getExpiryTimeInMs())))
+        yield from self._rows(self._look(key, max(self._now(timerValues), expiredTimerInfo.getExpiryTimeInMs()), self._pending()))
 
 
 DUE = "set_id string, reason string, pending long, at_ms long"
@@ -216,17 +224,15 @@ class Summaries(StatefulProcessor):
         self.capacity, self.model = capacity, model
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.kept = handle.getListState("kept", "content string")
-        self.queue = handle.getListState("queue", "content string")
-        self.summary = handle.getValueState("summary", "text string, seen long, summarised long")
+        # one value, as each call to the store costs more than the rows of a session
+        self.memory = handle.getValueState("memory", "text string, seen long, summarised long, kept array<string>, queue array<string>")
 
     def close(self) -> None:
         pass
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        text, seen, done = self.summary.get() if self.summary.exists() else ("", -(1 << 62), 0)
-        kept = [c for (c,) in self.kept.get()] if self.kept.exists() else []
-        queue = [c for (c,) in self.queue.get()] if self.queue.exists() else []
+        text, seen, done, kept, queue = self.memory.get() or ("", -(1 << 62), 0, [], [])
+        kept, queue = list(kept), list(queue)
         frame = _in_order(rows, ["sequence_num"])
         used = sum(map(len, kept))
         for number, content in zip(frame.sequence_num, frame.content):
@@ -244,9 +250,7 @@ class Summaries(StatefulProcessor):
                 text, done, queue = summarised(text, queue, self.model), done + len(queue), []
             except Exception as failure:  # the queue waits
                 error = str(failure)[:200]
-        for state, values in ((self.kept, kept), (self.queue, queue)):
-            state.put([(c,) for c in values]) if values else state.clear()
-        self.summary.update((text, seen, done))
+        self.memory.update((text, seen, done, kept, queue))
         yield pd.DataFrame({"session_key": [key[0]], "sequence_num": [seen], "summarised": [done], "waiting": [len(queue)], "summary": [text], "error": pd.array([error], dtype="string")})
 
 
