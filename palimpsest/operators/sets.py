@@ -7,12 +7,17 @@ from pyspark.sql import functions as F
 
 from .tables import first_of, insert_missing, without_ids
 
+#: Entries with one tag that are matched as one share; a tag of more entries is dealt into several.
+SHARE = 100_000
+
 
 def matching_types(entries: DataFrame, types: DataFrame, key: str = "uid") -> DataFrame:
     """Entries (a unique key, keys array) with each set type (type_id, tags array) all of whose tags are among the keys.
 
     An equi-join on single tags and a count, so neither table has to be small.
-    Types without tags match every entry.
+    Types without tags match every entry. Entries of a common tag are dealt into
+    shares by their key, and the types that want it are copied to each share, so no
+    task gets all entries of a tag; copies are fewer than matches by a factor of SHARE.
     """
     # a tag that every entry holds and only types without tags want
     none = F.array(F.struct(F.lit("").alias("tag"), F.lit(True).alias("every")))
@@ -20,7 +25,12 @@ def matching_types(entries: DataFrame, types: DataFrame, key: str = "uid") -> Da
     wanted = types.select("type_id", F.when(F.size("tags") > 0, named(F.col("tags"))).otherwise(none).alias("asked"))
     tagged = wanted.select("type_id", F.size("asked").alias("wanted"), F.explode("asked").alias("tag"))
     held = entries.select(key, F.explode(F.concat(named(F.coalesce("keys", F.array().cast("array<string>"))), none)).alias("tag"))
-    met = held.join(tagged, "tag").groupBy(key, "type_id", "wanted").agg(F.count("*").alias("met")).where("met = wanted").select(key, "type_id")
+    # of n held tags, fewer than n / SHARE are common
+    common = F.broadcast(held.groupBy("tag").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares")).where("shares > 1"))
+    n = F.coalesce("shares", F.lit(1))
+    dealt = held.join(common, "tag", "left").select(key, "tag", F.pmod(F.xxhash64(key), n).cast("int").alias("share"))
+    copied = tagged.join(common, "tag", "left").select("type_id", "wanted", "tag", F.explode(F.sequence(F.lit(0), n - 1)).alias("share"))
+    met = dealt.join(copied, ["tag", "share"]).groupBy(key, "type_id", "wanted").agg(F.count("*").alias("met")).where("met = wanted").select(key, "type_id")
     return entries.join(met, key)
 
 
