@@ -158,7 +158,8 @@ def apart() -> str:
     kind = lambda c: "space" if c.isspace() else unicodedata.category(c)[0]
     numbers = "".join(c for c in stable if kind(c) == "N")
     others = "".join(re.escape(c) for c in stable if kind(c) not in ("L", "N", "space"))
-    return f"('(?:s|t|re|ve|m|ll|d)|[{numbers}]|[{others}]+)"
+    # begins with a set of characters, which re looks for at once: a contraction, or a single number, or a run
+    return f"([{numbers}{others}](?:(?<=')(?:s|t|re|ve|m|ll|d)|(?<![{numbers}])[{others}]*|))"
 
 
 class WordBpe:
@@ -172,8 +173,10 @@ class WordBpe:
 
     #: What the pre-tokeniser sets apart from letters, in texts of stable characters.
     APART = re.compile(apart())
-    ODD = re.compile("[\x00\x1c-\x1f]")
+    ODD = b"\x00\x1c\x1d\x1e\x1f"
     END = b"\0"
+    #: ASCII white space ends a word.
+    ENDS = bytes.maketrans(b"\t\n\v\f\r ", bytes(6))
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -192,6 +195,7 @@ class WordBpe:
         # bytes without a token of their own, and the end, only stand before merges
         ranks |= {bytes([b]): top + 1000 + b for b in range(256) if bytes([b]) not in ranks}
         self.merger = Merger(ranks, r"[^\x00]+\x00")
+        self.core = self.merger.core._core_bpe
         self.library = Tokenizer.from_file(path)
         self.special = special_pattern(spec)
         self.dtype = np.dtype("<u2") if top + 2000 < 1 << 16 else np.dtype("<u4")
@@ -202,19 +206,28 @@ class WordBpe:
 
     def words(self, text: str) -> list[int]:
         """Ids of a text of stable characters: its words, each ended, in one string."""
-        # runs of ends stand for no word
-        return self.merger.core.encode_ordinary("\0".join("\0".join(self.APART.split(text.lower())).split()) + "\0")
-
-    def short_words(self, text: str) -> bool:
-        data = np.frombuffer(text.encode(), dtype=np.uint8)
-        return len(data) <= LONG or int(np.diff(np.flatnonzero(data <= 0x20), prepend=0, append=len(data)).max()) <= LONG
+        low = text.lower()
+        if not low.isascii():
+            low = low.replace("\x85", "\0").replace("\xa0", "\0")
+        ended = ("\0".join(self.APART.split(low)) + "\0").encode().translate(self.ENDS).decode()
+        # runs of ends stand for no word; most are of two and three
+        return self.core.encode_ordinary(ended.replace("\0\0\0", "\0").replace("\0\0", "\0"))
+
+    def short_words(self, data: bytes) -> bool:
+        """No run of more than LONG bytes is without white space; at first by blocks, of which such a run holds a whole one."""
+        at, half = np.frombuffer(data, dtype=np.uint8), LONG // 2
+        if len(at) <= LONG or int(at[: len(at) // half * half].reshape(-1, half).min(axis=1).max()) <= 0x20:
+            return True
+        return int(np.diff(np.flatnonzero(at <= 0x20), prepend=0, append=len(at)).max()) <= LONG
 
     def encode(self, text: str) -> bytes:
-        if (self.special is not None and self.special.search(text)) or self.ODD.search(text):
+        data = text.encode()
+        if (self.special is not None and self.special.search(text)) or len(data.translate(None, self.ODD)) < len(data):
             return array(self.code, self.by_library(text)).tobytes()
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
-        if not UNSTABLE.search(text) and self.short_words(text):
+            data = text.encode()
+        if (text.isascii() or not UNSTABLE.search(text)) and self.short_words(data):
             return array(self.code, self.words(text)).tobytes()
         plain = lambda word: len(word) <= LONG and not UNSTABLE.search(word)
         runs = [(is_plain, " ".join(run)) for is_plain, run in groupby(text.split(), plain)]
